@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ MIN_TEXTS = 3
 MAX_RESIDUAL_BITS = 0.32
 #: Terms that a task counts before it hands the counts on.
 FLUSH = 200_000
+#: Candidate terms that may be sent to every task.
+CANDIDATES = 300_000
 
 #: What a sanitised text holds in place of a span.
 GENERALISED = {"email": "[email]", "ip": "[ip]", "card": "[card]", "phone": "[phone]", "term": "[term]"}
@@ -103,27 +106,19 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return out
 
 
-PASS = "is_doc boolean, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_spans string, text_key binary, entities array<binary>, terms array<string>, starts array<int>, ends array<int>, term string, n bigint"
+PASS = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_spans string, text_key binary, entities array<binary>, terms array<string>, starts array<int>, ends array<int>"
 ARROW = pa.schema([
-    ("is_doc", pa.bool_()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("text_key", pa.binary()),
-    ("entities", pa.list_(pa.binary())), ("terms", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("term", pa.string()), ("n", pa.int64()),
+    ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("text_key", pa.binary()),
+    ("entities", pa.list_(pa.binary())), ("terms", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
 ])
 
 
-def _table(**columns: list) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and, besides, document counts of the words seen."""
-    seen: Counter[str] = Counter()
+    """A row for each document; words and entities only where there are entities."""
     for b in slices(batches):
-        out = {f.name: [] for f in ARROW if f.name not in ("term", "n")}
+        out: dict[str, list] = {f.name: [] for f in ARROW}
         for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
             spans = base_spans(text)
-            seen.update(set(TERM.findall(text.lower())))
-            out["is_doc"].append(True)
             out["doc_id"].append(doc_id)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in spans))
@@ -133,31 +128,60 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["entities"].append(list({entity(k, text[s:e]) for k, s, e in spans}) if spans else None)
             for name, i in (("terms", 0), ("starts", 1), ("ends", 2)):
                 out[name].append([t[i] for t in found] if spans else None)
-        yield _table(**out)
-        if len(seen) > FLUSH:
-            yield _table(is_doc=[False] * len(seen), term=list(seen), n=list(seen.values()))
-            seen.clear()
-    if seen:
-        yield _table(is_doc=[False] * len(seen), term=list(seen), n=list(seen.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in ARROW], schema=ARROW)
+
+
+def _counts(wanted: Broadcast | None):
+    """In how many documents of a task each word is; with wanted, of those words only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in slices(batches):
+            for text in texts(b["text"]):
+                words = set(TERM.findall(text.lower()))
+                seen.update(words if wanted is None else words & wanted.value)
+            if len(seen) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return run
+
+
+def document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(term, n_t): documents of the whole corpus that hold each candidate term.
+
+    Up to CANDIDATES terms are sent to the tasks, which then hand on counts of those only. With more,
+    every word is counted and the counts are joined; the result is the same.
+    """
+    spark = docs.sparkSession
+    few = candidates.count() <= CANDIDATES
+    wanted = spark.sparkContext.broadcast(frozenset(r["term"] for r in candidates.collect())) if few else None
+    counted = docs.select("text").mapInArrow(_counts(wanted), "term string, n bigint")
+    if not few:
+        counted = counted.join(candidates, "term", "left_semi")
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def find(docs: DataFrame, min_texts: int = MIN_TEXTS, max_residual_bits: float = MAX_RESIDUAL_BITS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, term_spans (strings), a row for each row of docs.
 
-    The one pass over the texts is written to the shared folder; what follows reads only documents
-    that hold an entity, and word counts.
+    The pass that finds entities is written to the shared folder; only documents that hold an entity
+    seen in several texts are looked at again, and a second pass counts the words that matter there.
     """
-    scanned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, PASS)
-    scanned = scratch.save(scanned.withColumn("rid", F.monotonically_increasing_id()), "pii")
-    rows = scanned.where("is_doc")
-    held = rows.where("entities is not null").select("rid", "text_key", F.explode("entities").alias("entity"), "terms", "starts", "ends")
-    by_text = held.groupBy("entity", "text_key").agg(F.count("*").alias("n"))
-    often = by_text.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity")
-    near = held.join(often, "entity", "left_semi").select("rid", "text_key", "entity", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t"))
-    near = near.select("rid", "text_key", "entity", F.col("t.terms").alias("term"), F.col("t.starts").alias("s"), F.col("t.ends").alias("e"))
-    per_text = near.groupBy("entity", "term", "text_key").agg(F.count_distinct("rid").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, PASS)
+    rows = scratch.save(rows.withColumn("rid", F.monotonically_increasing_id()), "pii")
+    held = rows.where("entities is not null").select("rid", "text_key", F.explode("entities").alias("entity"))
+    often = held.groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity")
+    chosen = held.join(often, "entity", "left_semi").groupBy("rid").agg(F.collect_list("entity").alias("entity"))
+    near = rows.where("entities is not null").select("rid", "text_key", "terms", "starts", "ends").join(chosen, "rid")
+    near = near.select("rid", "text_key", "entity", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t"))
+    near = near.select("rid", "text_key", F.explode("entity").alias("entity"), F.col("t.terms").alias("term"), F.col("t.starts").alias("s"), F.col("t.ends").alias("e"))
+    per_text = near.select("rid", "text_key", "entity", "term").distinct().groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
     pairs = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    counts = scanned.where("not is_doc").join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
+    pairs = scratch.save(pairs.select("entity", "term", "n_ct"), "pii-pairs")
+    counts = document_counts(docs, pairs.select("term").distinct())
     bits = -F.log2(F.col("n_ct") / F.greatest("n_t", "n_ct"))
     telling = pairs.join(counts, "term").where(bits <= max_residual_bits).select("entity", "term")
     marks = near.join(telling, ["entity", "term"], "left_semi").select("rid", "s", "e").distinct()
