@@ -30,6 +30,10 @@ from inkwell.llm.batches import held_out, slices, texts
 STATISTICS = ("lower", "upper", "digit", "space", "newline", "stop", "bracket", "symbol", "other", "log_words", "word_mean", "word_sd", "distinct", "top", "repeats", "marked", "shouted", "lines", "line_distinct", "line_end", "pairs")
 FEATURES = 320
 RIDGE = 1e-3
+#: Inverse width of the kernel, in units of one over the root of the number of statistics.
+BANDWIDTH = 0.5
+#: Standard deviations beyond which a statistic counts no further, so that no text is far from all that was learnt from.
+REACH = 4.0
 SEED = 20_240_501
 #: A document of predicted quality has at least this score.
 THRESHOLD = 0.3
@@ -74,13 +78,13 @@ class Model:
         rng = np.random.default_rng(seed)
         d = len(STATISTICS)
         self.mean, self.scale = mean, scale
-        self.w = rng.normal(0, 1 / np.sqrt(d), (d, FEATURES))
+        self.w = rng.normal(0, BANDWIDTH / np.sqrt(d), (d, FEATURES))
         self.b = rng.uniform(0, 2 * np.pi, FEATURES)
         self.weights = np.zeros(FEATURES + 1)
         self.curve = (np.array([0.0, 1.0]), np.array([0.5, 0.5]))
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        z = np.clip((x - self.mean) / self.scale, -REACH, REACH)
         return np.hstack([np.cos(z @ self.w + self.b) * np.sqrt(2 / FEATURES), np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
