@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import scratch
+from inkwell.llm.exprs import let
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,8 +67,8 @@ def _where(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.array().cast("array<struct<s:int,e:int,k:int,v:string>>"))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with ``base`` and ``further``: arrays of spans (s, e, k, v)."""
+def spans_of_text() -> Column:
+    """For a row with ``text``, base and further: arrays of spans (s, e, k, v)."""
     low = F.lower("text")
     named = F.col("text").contains("=") | F.col("text").contains(":")
     test = low.contains(NAMES[0])
@@ -78,12 +79,14 @@ def with_spans(docs: DataFrame) -> DataFrame:
     hexes = _where(F.col("text").rlike(f"[0-9a-f]{{{MIN_HEX}}}"), _matches(HEX, "hex", 0, MIN_HEX, rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}"))
     mixed = F.col("text").rlike("[0-9][A-Za-z]|[A-Za-z][0-9]") & F.col("text").rlike(rf"[A-Za-z0-9_-]{{{MIN_TOKEN}}}")
     tokens = _where(mixed, _matches(TOKEN, "token", 0, MIN_TOKEN, rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{MIN_TOKEN},}}"))
-    enough = F.filter(
-        tokens,
-        lambda x: (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_MIXED) & (F.length(F.regexp_replace(x["v"], "[^A-Za-z]", "")) >= MIN_MIXED) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
-    )
-    ordered = F.array_sort(F.concat(assign, access, hexes))
-    return docs.withColumn("base", ordered).withColumn("further", enough)
+    def mixed_enough(x: Column) -> Column:
+        return (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_MIXED) & (F.length(F.regexp_replace(x["v"], "[^A-Za-z]", "")) >= MIN_MIXED)
+
+    def both(base: Column) -> Column:
+        further = F.filter(tokens, lambda x: mixed_enough(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        return F.struct(base.alias("base"), further.alias("further"))
+
+    return let(F.array_sort(F.concat(assign, access, hexes)), both)
 
 
 def find(docs: DataFrame, repository: str = "source", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
@@ -93,8 +96,13 @@ def find(docs: DataFrame, repository: str = "source", owner: str = "source", cop
     ``live``.
     """
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
-    scanned = with_spans(given).select("doc_id", "repository", "owner", F.xxhash64("text").alias("text_key"), *(F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.unhex(F.md5(x["v"])).alias("v"))).alias(c) for c in ("base", "further")))
-    scanned = scratch.save(scanned.withColumn("rid", F.monotonically_increasing_id()), "secrets")
+
+    def hashed(spans: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.unhex(F.md5(x["v"])).alias("v")))
+
+    spans = let(spans_of_text(), lambda x: F.struct(hashed(x["base"]).alias("base"), hashed(x["further"]).alias("further")))
+    scanned = given.select("doc_id", "repository", "owner", F.xxhash64("text").alias("text_key"), spans.alias("x"), F.monotonically_increasing_id().alias("rid"))
+    scanned = scratch.save(scanned, "secrets").select("doc_id", "repository", "owner", "text_key", "x.*", "rid")
     held = scanned.where("size(base) + size(further) > 0").select("rid", "repository", "owner", F.explode(F.concat("base", "further")).alias("x"))
     held = held.select("rid", "repository", "owner", "x.*")
     seen = held.groupBy("v", "repository", "owner").agg(F.count("*").alias("n"))
