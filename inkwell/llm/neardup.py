@@ -2,11 +2,11 @@
 
 A text's set of 5-word shingles gives ``POSITIONS`` MinHash values of 16 bits. Two sets of
 similarity 0.85 differ in 15 of 100 positions on average. The first ``INDEXED`` positions are
-indexed: they are split into ``CHUNKS`` chunks, and by the pigeonhole principle two signatures that
-differ in at most ``DISTANCE`` of them have a chunk that differs in at most DISTANCE // CHUNKS = 1.
-That one error is enumerated: an entry of an index is a chunk with one position left out, so a text
-has INDEXED entries and every pair within DISTANCE shares one. Sets of similarity 0.85 or more are
-within it but for about 6 pairs in 100,000 at exactly 0.85, and far fewer above.
+indexed: they are split into chunks, and by the pigeonhole principle two signatures that differ in
+at most d of them have a chunk that differs in at most d // chunks = 1 (distance() has d: 21 for
+0.85, and 11 chunks). That one error is enumerated: an entry of an index is a chunk with one
+position left out, so a text has INDEXED entries and every pair within d shares one. Sets at the
+threshold are within it but for about 6 pairs in 100,000, those above it even more surely.
 
 Copies (equal sets) are one node. Entries that several nodes share link each of them to the
 smallest, which gives coarse groups that hold every pair the index finds, without listing pairs. A
@@ -38,11 +38,9 @@ from inkwell.llm.shingles import Shingler
 
 POSITIONS = 128
 INDEXED = 64
-CHUNKS = 11
-DISTANCE = 21
-#: Differences among all positions beyond which a pair can't be linked: 15 % of them and 4.5 deviations.
-FILTER = 37
 PERCENT = 85
+#: Standard deviations of the number of differing positions that a linked pair may be off its mean.
+DEVIATIONS = 4.2
 BLOCK_NODES = 128
 BLOCK_BYTES = 2 << 20
 #: Ids that may be sent to every task to pick out the texts of coarse groups; beyond, they are joined.
@@ -50,6 +48,12 @@ BROADCAST_IDS = 2_000_000
 SEED = 77_003
 
 
+def distance(percent: int, positions: int) -> int:
+    """Differing positions of a pair at the threshold: the mean and DEVIATIONS deviations."""
+    q = 1 - percent / 100
+    return int(positions * q + DEVIATIONS * (positions * q * (1 - q)) ** 0.5)
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return rng.integers(0, 1 << 32, POSITIONS, np.uint64).astype(np.uint32), rng.integers(0, 1 << 32, POSITIONS, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -86,9 +90,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sig binary")
 
 
-def entries() -> Column:
+def entries(percent: int = PERCENT) -> Column:
     """The index entries of a signature: for each indexed position, its chunk without that position."""
-    ends = [INDEXED * (i + 1) // CHUNKS for i in range(CHUNKS)]
+    chunks = distance(percent, INDEXED) // 2 + 1
+    ends = [INDEXED * (i + 1) // chunks for i in range(chunks)]
     out, start = [], 0
     for end in ends:
         for p in range(start, end):
@@ -100,6 +105,7 @@ def entries() -> Column:
 
 def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links of each pair of blocks, from rows sorted by (comp, i, j): one at most for each node."""
+    most = distance(percent, POSITIONS)
 
     def linked(s: np.ndarray, t: np.ndarray) -> bool:
         small, large = sorted((len(s), len(t)))
@@ -128,7 +134,7 @@ def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         out = []
         for x in range(len(rows) - 1):
-            near = (sigs[x + 1 :] != sigs[x]).sum(1) <= FILTER
+            near = (sigs[x + 1 :] != sigs[x]).sum(1) <= most
             near &= 100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x])
             if i != j:
                 near &= block[x + 1 :] != block[x]
@@ -177,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = rows.where("doc_id is not null and digest is not null")
     nodes = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = scratch.save(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    index = nodes.select("nid", entries().alias("key"))
+    index = nodes.select("nid", entries(percent).alias("key"))
     shared = index.groupBy("key").agg(F.min("nid").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     stars = index.join(shared, "key").where("nid != first").select(F.col("nid").alias("u"), F.col("first").alias("v"))
     # Rows that share a doc_id are one document.
@@ -204,8 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates, and with the columns of docs."""
-    drop = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = scratch.save(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "drop")
+    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    # Only rows that share a doc_id are dealt by it.
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm import labelled
 from inkwell.llm.batches import held_out, slices, texts
@@ -159,21 +160,26 @@ def fit(sample: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column ``quality_score``, whatever other columns there are."""
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a column ``name`` (in place of one that has this name), whatever other columns there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.append_column("quality_score", pa.array(model.score(_matrix(texts(b["text"]))), pa.float64()))
+            yield b.append_column(name, pa.array(model.score(_matrix(texts(b["text"]))), pa.float64()))
 
-    plain = docs.drop("quality_score")
-    return plain.mapInArrow(run, plain.schema.add("quality_score", "double"))
+    plain = docs.drop(name)
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns of docs."""
     model = fit(labelled.sample(docs, labels, "quality"))
-    return score(docs, model).where(F.col("quality_score") >= threshold).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(model.score(_matrix(texts(b["text"]))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
