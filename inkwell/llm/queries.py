@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module of this package that has it as query().
 MODULES = {
+    "op8_suffix_array_dedup": "suffixes",
     "op10_html_extraction": "html",
     "op3_benchmark_decontamination": "decontaminate",
     "op2_secret_scans": "secrets",
