@@ -39,11 +39,11 @@ from inkwell.llm.batches import slices, texts
 
 LENGTH = 100
 GRAM = 40
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 1 << 20
 #: Positions that may be sent to every task; beyond, documents are joined with them.
 BROADCAST_POSITIONS = 4_000_000
 #: Strings of open runs that a task resolves at once.
-OPEN_STRINGS = 2_000_000
+OPEN_STRINGS = 400_000
 
 _U = np.uint64
 _TABLE = np.random.default_rng(20_101).integers(0, 1 << 63, 256, np.int64).astype(_U) * _U(2) + _U(1)
@@ -75,10 +75,12 @@ class Unit:
         g = _TABLE[data]
         self.by: dict[int, np.ndarray] = {}
         for i, size in enumerate((1, 2, 4, 8, 16, 32)):
-            self.by[size] = g
+            if size in (4, 8, 32):
+                self.by[size] = g
             if len(g) <= size:
                 break
-            g = _join(g[:-size], g[size:], i)
+            if size < 32:
+                g = _join(g[:-size], g[size:], i)
 
     def gram(self, at: np.ndarray | slice) -> np.ndarray:
         return _join(self.by[32][at], self.by[8][32:][at], 6)
