@@ -163,10 +163,10 @@ class _Reader(DataSourceReader):
         fs, base = _open(self.folder)
         names = None
         if self.listed:
-            import pyarrow.dataset
+            import pyarrow.dataset as ds
 
             lfs, lbase = _open(self.listed)
-            names = set(pyarrow.dataset.dataset(lbase, filesystem=lfs, format="parquet").to_table(columns=["archive"])["archive"].to_pylist())
+            names = set(ds.dataset(lbase, filesystem=lfs, format="parquet").to_table(columns=["archive"])["archive"].to_pylist())
         found = [x for x in fs.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)) if x.is_file and (x.base_name.endswith(".zip") if names is None else x.base_name in names)]
         if names is not None and len(found) != len(names):
             raise FileNotFoundError(f"{len(names) - len(found)} archives of the list are missing in {self.folder}")
