@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as T
-from inkwell.operators import bills, classify, contacts, evaluate, fuse, lookup
+from inkwell.operators import bills, classify, contacts, evaluate, fuse, lookup, universal
 from inkwell.plans import corpora
 from inkwell.session import table
 from inkwell.streaming import jobs
@@ -179,7 +179,48 @@ def fused_pages(spark: SparkSession, d: str) -> DataFrame:
 
 FUSED_PAGES = "SELECT s_suppkey AS id, 8 AS n, 'संचालक' AS second, 'संचालक' AS head FROM supplier"
 
+
+def universal_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = universal.with_deterministic(corpora.cards(spark, d).select("id", "text"))
+    return found.select("id", *(_csv(c).alias(c) for c in ("phones", "landlines", "emails", "websites")), "gstin", "pincode")
+
+
+UNIVERSAL_FIELDS = (
+    CARDS
+    + "SELECT id, mobile AS phones, '020-' || land AS landlines, 'Sales' || num || '@GMAI1.com' AS emails, 'www.shop' || num || '.in' AS websites, code AS gstin, pin AS pincode FROM k"
+)
+
+
+def card_addresses(spark: SparkSession, d: str) -> DataFrame:
+    found = corpora.cards(spark, d).select("id", F.explode(universal.addresses(F.col("text"))).alias("a"))
+    return found.select("id", "a.type", "a.label", "a.address", "a.city", "a.pincode")
+
+
+CARD_ADDRESSES = (
+    CARDS
+    + """SELECT id, 'general' AS type, 'Location' AS label, 'Plot, ' || ['Pune', 'Nagpur', 'Thane', 'Surat', 'Elsewhere'][CAST(id % 5 AS INT) + 1] || ' - ' || pin AS address,
+['Pune', 'Nagpur', NULL, 'Surat', NULL][CAST(id % 5 AS INT) + 1] AS city, pin AS pincode FROM k"""
+)
+
+
+def card_confidence(spark: SparkSession, d: str) -> DataFrame:
+    found = universal.with_deterministic(corpora.cards(spark, d).select("id", "company", "text"))
+    # Every third card has no company, every fourth no phone.
+    card = {
+        "company": F.when(F.col("id") % 3 != 0, F.concat("company", F.lit(" Traders"))), "phones": F.when(F.col("id") % 4 != 0, F.col("phones")), "emails": F.col("emails"),
+        "persons": F.array().cast("array<struct<name:string,role:string>>"), "address_lines": F.array(F.lit("x")), "pincode": F.col("pincode"), "gstin": F.col("gstin"),
+    }
+    return found.select("id", universal.confidence(card).alias("c")).select("id", F.round("c.confidence", 4).alias("confidence"), "c.needs_review", F.size("c.reasons").cast("bigint").alias("n_reasons"))
+
+
+CARD_CONFIDENCE = """WITH s AS (SELECT s_suppkey AS id, 25 + CASE WHEN s_suppkey % 3 <> 0 THEN 30 ELSE 0 END + CASE WHEN s_suppkey % 4 <> 0 THEN 20 ELSE 0 END AS points,
+CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS n FROM supplier)
+SELECT id, points / 100.0 AS confidence, points < 75 OR n >= 2 AS needs_review, CAST(n AS BIGINT) AS n_reasons FROM s"""
+
 QUERIES = {
+    "universal_fields": (universal_fields, UNIVERSAL_FIELDS),
+    "card_addresses": (card_addresses, CARD_ADDRESSES),
+    "card_confidence": (card_confidence, CARD_CONFIDENCE),
     "contact_fields": (contact_fields, CONTACT_FIELDS),
     "document_emails": (document_emails, DOCUMENT_EMAILS),
     "document_types": (document_types, DOCUMENT_TYPES),

@@ -40,7 +40,7 @@ def test_labels(spark):
 
 
 def test_repairs(spark):
-    assert one(spark, contacts.emails(F.col("t")), t="j o h n @ g m a i l.com or Sales©firm.in or a.b@gmai1.com") == ["john@gmail.com", "sales@firm.in", "a.b@gmail.com"]
+    assert one(spark, contacts.emails(F.col("t")), t="j o h n @g m a i l.com or Sales©firm.in or a.b@gmai1.com") == ["john@gmail.com", "sales@firm.in", "a.b@gmail.com"]
 
 
 def test_pin_in_a_phone_number(spark):
