@@ -69,12 +69,6 @@ def devanagari_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^ऀ-ॿ꣠-ꣿ]", ""))
 
 
-def services(text: Column) -> Column:
-    """a listed text as its parts, without bullets and parts of one character."""
-    parts = F.transform(F.split(text, "[,;•▪|]"), lambda x: F.trim(F.regexp_replace(x, r"^[\s•▪*-]+|[\s.]+$", "")))
-    return F.filter(parts, lambda x: F.length(x) > 1)
-
-
 def gstin_check(code: Column) -> Column:
     """whether a 15-character tax id ends in its check character (base 36, weights 1 and 2)."""
     alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
