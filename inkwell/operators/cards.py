@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.exprs import bind, first
+from inkwell.operators.lines import AUDIENCE, SECTION
 from inkwell.operators.universal import city_and_state
 
 PERSONS = "array<struct<name:string,role:string,phones:array<string>,email:string>>"
@@ -14,8 +15,7 @@ CARD = f"company string, tagline string, persons {PERSONS}, phones array<string>
 # Rules for names, and the confidence that each filled field has.
 SALUTED = r"(?i)^(?:Dr\.|Adv\.|Mr\.|Mrs\.|Ms\.|Shri\b)"
 CORPORATE = r"(?i)pvt|ltd|limited|llp|traders|motors|enterprises|hospital|clinic"
-HEADER = r"(?i)^(?:our\s+)?(?:services|products|facilities|specialities|specialties)\s*:?$"
-BULLET = r"^\s*(?:[•▪*➤►✓✔»-]|\d+[.)])\s*"
+BULLET = r"^(?:[>►•■▪★*✓✔+→▶\-–]|\d+[\.\)])\s*"
 NOT_NAMES = ("download", "scan", "get it", "getit", "app")
 FIELD_CONFIDENCE = {"full_name": 0.98, "job_title": 0.94, "company": 0.97, "email": 0.99, "phone": 0.98, "second_phone": 0.92, "website": 0.94, "address": 0.90, "city": 0.93, "state": 0.93}
 REVIEWED = ("full_name", "company", "phone", "email", "address")
@@ -25,7 +25,7 @@ THRESHOLD = 0.7
 def is_person(name: Column, vetoes: tuple[str, ...] = ()) -> Column:
     """A name of 3 to 55 characters, three letters, two digits at most, no list, no bullet, and none of the vetoed words."""
     lower = F.lower(F.trim(name))
-    out = F.length(lower).between(3, 55) & ~lower.rlike(BULLET) & ~lower.rlike(HEADER) & ~lower.rlike(r"[|/,…]|\.\.\.") & ~lower.rlike("^(?:" + "|".join(NOT_NAMES) + ")")
+    out = F.length(lower).between(3, 55) & ~lower.rlike(BULLET) & ~lower.rlike(SECTION) & ~lower.rlike(AUDIENCE) & ~lower.rlike(r"[|/,…]|\.\.\.") & ~lower.rlike("^(?:" + "|".join(NOT_NAMES) + ")")
     out = out & (F.length(F.regexp_replace(lower, r"[^0-9]", "")) <= 2) & (F.length(F.regexp_replace(lower, r"\P{L}", "")) >= 3)
     if vetoes:
         out = out & ~F.exists(F.array(*(F.lit(v.lower()) for v in vetoes)), lambda v: F.contains(lower, v))
@@ -39,7 +39,7 @@ def _filled(c: Column) -> Column:
 def _as_services(persons: Column) -> Column:
     """Names that aren't persons', as services."""
     names = F.transform(persons, lambda p: F.trim(F.regexp_replace(p["name"], BULLET, "")))
-    return F.filter(names, lambda n: (F.length(n) >= 2) & ~n.rlike(HEADER))
+    return F.filter(names, lambda n: (F.length(n) >= 2) & ~n.rlike(SECTION))
 
 
 def merge_pages(pages: DataFrame, vetoes: tuple[str, ...] = ()) -> DataFrame:
@@ -103,7 +103,7 @@ def response(cards: DataFrame, threshold: float = THRESHOLD, category: str | Non
     })
     c = c.withColumns({"_name": F.coalesce(first(F.col("_valid"))["name"], empty), "_title": F.coalesce(first(F.col("_valid"))["role"], empty), "_place": city_and_state(F.col("_address"))})
     same = (F.col("_name") != "") & (F.lower("_name") == F.lower("_company"))
-    shown_company = F.when(F.trim("_company").rlike(HEADER), empty).when(same & F.col("_name").rlike(SALUTED), empty).otherwise(F.col("_company"))
+    shown_company = F.when(F.trim("_company").rlike(SECTION), empty).when(same & F.col("_name").rlike(SALUTED), empty).otherwise(F.col("_company"))
     shown_name = F.when(same & ~F.col("_name").rlike(SALUTED) & F.col("_company").rlike(CORPORATE), empty).otherwise(F.col("_name"))
     listed = F.concat("_services", "_other")
     listed = F.array_distinct(F.when((F.size(listed) == 0) & (F.col("_tagline") != ""), F.array("_tagline")).otherwise(listed))
