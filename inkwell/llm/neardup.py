@@ -5,8 +5,10 @@ similarity 0.85 differ in 15 of 100 positions on average. The first ``INDEXED``
 indexed: they are split into chunks, and by the pigeonhole principle two signatures that differ in
 at most d of them have a chunk that differs in at most d // chunks = 1 (distance() has d: 21 for
 0.85, and 11 chunks). That one error is enumerated: an entry of an index is a chunk with one
-position left out, so a text has INDEXED entries and every pair within d shares one. Sets at the
-threshold are within it but for about 6 pairs in 100,000, those above it even more surely.
+position left out, so a text has INDEXED entries and every pair within d shares one. What is found
+is exact, but signatures are samples: by the binomial law, of pairs at exactly 0.85 about 10 in
+100,000 differ in more indexed positions than that, and 4 in more of all positions than is looked
+at closely; at 0.86 it's 4 in all, at 0.88 fewer than 1.
 
 Copies (equal sets) are one node. Entries that several nodes share link each of them to the
 smallest, which gives coarse groups that hold every pair the index finds, without listing pairs. A
