@@ -17,6 +17,7 @@ null; repeated rows are packed once each; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,11 @@ END_ID = 0
 #: The vocabulary of byte_bpe_50k.json as ranks; its ids are the same, and merging by ranks takes a third of the time.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
+#: A run of white space from which on a text is cut.
+LONG_RUN = 100_000
+#: The pattern's white space (Unicode's White_Space), which isn't that of Python's patterns.
+SPACES = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -43,7 +49,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Vocabulary:
-    """Text to the bytes of its ids (little-endian unsigned 32-bit). Names of special tokens are ordinary text."""
+    """Text to the bytes of its ids (little-endian unsigned 32-bit).
+
+    The pattern can't match a run of about a million white-space characters, so texts are cut at long
+    runs. Such a run is one piece, without its last character where a word follows; that one is read
+    with the word, as the pattern does.
+    """
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -54,7 +65,18 @@ class Vocabulary:
         self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self._ordinary(text), "<u4").tobytes()
+
+    def _ordinary(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self.encoding.encode_ordinary(text)
+        out, at = [], 0
+        for m in SPACES.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
 
 
 def cuts(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
