@@ -18,3 +18,9 @@ def both():
 def test_long_white_space(both, text):
     got, expected = both(text)
     assert got == expected
+
+
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|>", "a \n<|endoftext|><|endoftext|>\n b<|endoftext|", "<|endoftext|>" + " " * 1_000_000 + "<|endoftext|>x"])
+def test_added_tokens(both, text):
+    got, expected = both(text)
+    assert got == expected and 50256 in got
