@@ -9,11 +9,14 @@ valid if it holds an element path and at least ``MIN_PAGES`` pages and ``SUPPORT
 nest the classes: a class lies in a slot of the class that has the nearest shorter path. Block tokens
 of valid classes are the template's own words; the other blocks are values of its slots.
 
+An article element is its page's content, so nothing in it counts as template, and pages whose main
+text lies in articles need none. Of the others, near copies on a host (``COPIES`` percent of their
+shingles) count once: what copies of one text share is that text and not a template.
+
 Of these the main text is kept: the blocks of the article (or main) element where there is one, else
 of the element that holds most text outside links. Menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out by their elements, roles
-and classes. Where removing the template's words would leave nothing of an article (a host whose
-pages are copies of each other), they stay.
+and classes. Where removing the template's words would leave nothing, they stay.
 
 Edge cases: null or empty html and pages without text give an empty text; a null url has no host and
 no template; ids and urls are handed on as they are; repeated rows each get a row; an empty table
@@ -32,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm import scratch
+from inkwell.llm import neardup, scratch
 from inkwell.llm.batches import slices, texts
 
 MIN_PAGES = 10
 SUPPORT = 0.5
+#: Shared shingles of near copies, in percent.
+COPIES = 80
 FLUSH = 200_000
 #: Template tokens that may be sent to every task; beyond, they are joined by host.
 BROADCAST_TOKENS = 1_000_000
@@ -55,6 +60,7 @@ DROPPED = frozenset("head nav aside footer form menu dialog button search fields
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side-bar aside nav navbar navigation menu menus breadcrumb breadcrumbs toolbar footer foot header masthead topbar comment comments commentlist comment-list disqus respond reply replies reactions newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget widgets skip-link disclaimer".split())
 MAIN_ROLES = frozenset({"main", "article"})
+ARTICLE_MARKS = frozenset({"article", "articlebody"})
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
@@ -62,7 +68,7 @@ WORDS = re.compile(r"[\s]+")
 
 
 class Element:
-    __slots__ = ("dropped", "main", "name", "path")
+    __slots__ = ("article", "dropped", "main", "name", "path")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Element | None) -> None:
         classes = WORDS.split(attributes.get("class", "").strip().lower())
@@ -72,6 +78,7 @@ class Element:
         self.name = name
         self.path = f"{parent.path if parent else ''}/{name}{''.join('.' + c for c in classes if c)}"
         self.main = inside or name in ("article", "main") or role in MAIN_ROLES or attributes.get("itemprop", "").lower() == "articlebody"
+        self.article = bool(parent and parent.article) or bool({name, role, attributes.get("itemprop", "").lower()} & ARTICLE_MARKS)
         own = name in DROPPED or role in DROPPED_ROLES or bool(words & DROPPED_WORDS) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         # An article may have a header of its own, with its title; a page's isn't main text.
         if name == "header" and not inside:
@@ -200,8 +207,8 @@ def templates(pages: DataFrame) -> DataFrame:
     return static.groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page: its blocks, joined by newlines."""
+def main_blocks(page: str) -> list[Block]:
+    """The blocks of a page's main text, before its template is known."""
     found, _ = blocks(page)
     kept = [b for b in found if not b.element.dropped]
     inside = [b for b in kept if b.element.main]
@@ -216,17 +223,46 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         whole = max(mass.values(), default=0)
         best = max((p for p, n in mass.items() if n >= 0.6 * whole), key=lambda p: (p.count("/"), mass[p]), default="")
         inside = [b for b in kept if b.element.path.startswith(best + "/") and (2 * b.linked <= len(b.text))] or kept
+    return inside
+
+
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page: its blocks, joined by newlines."""
+    inside = main_blocks(page)
     if template:
-        values = [b for b in inside if _hash("text", b.element.path, b.text) not in template]
+        values = [b for b in inside if b.element.article or _hash("text", b.element.path, b.text) not in template]
         inside = values or inside
     return "\n".join(b.text for b in inside)
 
 
+def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key and main text of the pages whose main text isn't all in articles."""
+    for b in slices(batches):
+        rows = []
+        for host, key, page in zip(b["host"].to_pylist(), b["key"].to_pylist(), texts(b["html"]), strict=True):
+            inside = main_blocks(page)
+            if not all(x.element.article for x in inside):
+                rows.append((host, key, "\n".join(x.text for x in inside)))
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["host", "key", "text"])
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host and html of the pages that need a template, one of each group of near copies on a host."""
+    keyed = pages.where("host is not null and host != ''").select("host", "html", F.xxhash64("host", "html").alias("key"))
+    loose = scratch.save(keyed.mapInArrow(_loose, "host string, key bigint, text string").dropDuplicates(["key"]), "loose-pages")
+    if loose.isEmpty():
+        return keyed.limit(0).select("host", "html")
+    groups = neardup.near_duplicates(loose.select(F.col("key").alias("doc_id"), "text"), COPIES).select(F.col("doc_id").alias("key"), "component_id")
+    one = loose.select("host", "key").join(groups, "key").groupBy("host", "component_id").agg(F.min("key").alias("key")).select("key")
+    return keyed.join(scratch.save(one, "distinct-pages"), "key", "left_semi").dropDuplicates(["key"]).select("host", "html")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of pages."""
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     given = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"))
-    found = scratch.save(templates(given), "templates")
+    found = scratch.save(templates(distinct_pages(given)), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).collect()[0][0]
     joined = given.join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left").select("page_id", "url", "html", "tokens")
 
