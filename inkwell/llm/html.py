@@ -14,9 +14,10 @@ text lies in articles need none. Of the others, near copies on a host (``COPIES`
 shingles) count once: what copies of one text share is that text and not a template.
 
 Of these the main text is kept: the blocks of the article (or main) element where there is one, else
-of the element that holds most text outside links. Menus, page headers and footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out by their elements, roles
-and classes. Where removing the template's words would leave nothing, they stay.
+all blocks but lists of links: those outside the element with most text that are links for the most
+part and no headings. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments are left out by their elements, roles and classes (whole names). A form,
+header or layout class that wraps an article, or most of the text, leaves nothing out. Where removing the template's words would leave nothing, they stay.
 
 Edge cases: null or empty html and pages without text give an empty text; a null url has no host and
 no template; ids and urls are handed on as they are; repeated rows each get a row; an empty table
@@ -58,7 +59,16 @@ VOID = frozenset("area base col embed hr img input link meta source track wbr br
 # What isn't main text, by element, role, and words of ids and classes.
 DROPPED = frozenset("head nav aside footer form menu dialog button search fieldset label".split())
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side-bar aside nav navbar navigation menu menus breadcrumb breadcrumbs toolbar footer foot header masthead topbar comment comments commentlist comment-list disqus respond reply replies reactions newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget widgets skip-link disclaimer".split())
+DROPPED_WORDS = frozenset("cookie-banner cookie-notice cookie-consent cookie-bar nav-bar main-nav site-nav top-nav nav-menu main-menu side-nav site-header page-header site-footer page-footer ad-banner ad-container ad-slot ad-unit ad-wrapper social-share share-buttons social-links related-posts related-articles comments-area comment-section newsletter-signup ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side-bar aside nav navbar navigation menu menus breadcrumb breadcrumbs toolbar footer foot header masthead topbar comment comments commentlist comment-list disqus respond reply replies reactions newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget widgets skip-link disclaimer".split())
+#: Of these, what may wrap a whole page or article: it counts only where it holds less than half of the text.
+WRAPPERS = frozenset("form fieldset header".split())
+WRAPPER_ROLES = frozenset("form banner search".split())
+WRAPPER_WORDS = frozenset("header masthead topbar banner site-header page-header widget widgets modal overlay".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a text, rather than a page's parts.
+LEAVES = HEADINGS | frozenset("p li dt dd pre address figcaption summary legend caption".split())
+#: Numbers at the end of a class or id.
+NUMBERED = re.compile(r"[-_]?\d+$")
 MAIN_ROLES = frozenset({"main", "article"})
 ARTICLE_MARKS = frozenset({"article", "articlebody"})
 
@@ -68,24 +78,27 @@ WORDS = re.compile(r"[\s]+")
 
 
 class Element:
-    __slots__ = ("article", "dropped", "main", "name", "path")
+    __slots__ = ("article", "dropped", "main", "name", "parent", "path", "wrapped")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Element | None) -> None:
         classes = WORDS.split(attributes.get("class", "").strip().lower())
-        words = {w for c in [*classes, attributes.get("id", "").lower()] for w in (c, *re.split(r"[-_\d]+", c)) if w}
+        words = {w for c in [*classes, attributes.get("id", "").strip().lower()] for w in (c, NUMBERED.sub("", c)) if w}
         role = attributes.get("role", "").lower()
         inside = bool(parent and parent.main)
-        self.name = name
+        self.name, self.parent = name, parent
         self.path = f"{parent.path if parent else ''}/{name}{''.join('.' + c for c in classes if c)}"
         self.main = inside or name in ("article", "main") or role in MAIN_ROLES or attributes.get("itemprop", "").lower() == "articlebody"
         self.article = bool(parent and parent.article) or bool({name, role, attributes.get("itemprop", "").lower()} & ARTICLE_MARKS)
-        own = name in DROPPED or role in DROPPED_ROLES or bool(words & DROPPED_WORDS) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+        gone = words & DROPPED_WORDS
+        dropped = name in DROPPED - WRAPPERS or role in DROPPED_ROLES - WRAPPER_ROLES or bool(gone - WRAPPER_WORDS) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         # An article may have a header of its own, with its title; a page's isn't main text.
-        if name == "header" and not inside:
-            own = True
+        wrapped = name in WRAPPERS and not (name == "header" and inside) or role in WRAPPER_ROLES or bool(gone & WRAPPER_WORDS)
         if name in ("html", "body", "main", "article") and not words & {"comment", "comments", "reply", "related", "ad", "advert", "sponsored"}:
-            own = False
-        self.dropped = own or bool(parent and parent.dropped)
+            dropped = wrapped = False
+        self.dropped = dropped or bool(parent and parent.dropped)
+        # A wrapper around an article says nothing about the article.
+        begins = self.main and not inside
+        self.wrapped = wrapped or bool(parent and parent.wrapped and not begins)
 
 
 class Block:
@@ -207,23 +220,40 @@ def templates(pages: DataFrame) -> DataFrame:
     return static.groupBy("host").agg(F.collect_set("token").alias("tokens"))
 
 
+def _weight(found: list[Block]) -> int:
+    """Characters outside links."""
+    return sum(max(0, len(b.text) - b.linked) for b in found)
+
+
 def main_blocks(page: str) -> list[Block]:
     """The blocks of a page's main text, before its template is known."""
-    found, _ = blocks(page)
-    kept = [b for b in found if not b.element.dropped]
-    inside = [b for b in kept if b.element.main]
-    if not inside:
-        # The smallest element that holds most of the text outside links.
-        mass: Counter[str] = Counter()
-        for b in kept:
-            weight, path = len(b.text) - b.linked, b.element.path
-            while path.count("/") > 1:
-                path = path.rpartition("/")[0]
-                mass[path] += max(0, weight)
-        whole = max(mass.values(), default=0)
-        best = max((p for p, n in mass.items() if n >= 0.6 * whole), key=lambda p: (p.count("/"), mass[p]), default="")
-        inside = [b for b in kept if b.element.path.startswith(best + "/") and (2 * b.linked <= len(b.text))] or kept
-    return inside
+    found = [b for b in blocks(page)[0] if not b.element.dropped]
+    inside = [b for b in found if b.element.main]
+    pool = inside or found
+    free = [b for b in pool if not b.element.wrapped]
+    kept = free if 2 * _weight(free) >= _weight(pool) else pool
+    if inside:
+        return kept
+    # The smallest element that holds most of the text outside links.
+    mass: Counter[Element] = Counter()
+    depth: dict[Element, int] = {}
+    for b in kept:
+        chain = [b.element]
+        while chain[-1].parent:
+            chain.append(chain[-1].parent)
+        for i, e in enumerate(reversed(chain)):
+            if e.name not in LEAVES:
+                mass[e] += _weight([b])
+                depth[e] = i
+    whole = max(mass.values(), default=0)
+    best = max((e for e, n in mass.items() if n >= 0.6 * whole), key=lambda e: depth[e], default=None)
+
+    def within(e: Element | None) -> bool:
+        while e and e is not best:
+            e = e.parent
+        return e is best
+
+    return [b for b in kept if 2 * b.linked <= len(b.text) or b.element.name in HEADINGS or within(b.element)] or kept
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
