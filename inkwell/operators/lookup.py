@@ -30,6 +30,10 @@ CITIES = tuple(
     )
 )
 
+# White space between tokens, and the punctuation around them.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+PUNCTUATION = ".,;:-()[]"
+
 
 def script_family(language: Column) -> Column:
     """J14"""
@@ -56,10 +60,30 @@ def snap(value: Column, vocabulary: tuple[str, ...], threshold: float) -> Column
 
 
 def aliased(text: Column, aliases: dict[str, str]) -> Column:
-    """Aliases put in place one after another."""
+    """F8: aliases put in place one after another, wherever they stand."""
     return reduce(lambda t, a: F.replace(t, F.lit(a[0]), F.lit(a[1])), aliases.items(), text)
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE), lambda t: t != "")
+
+
+def apply_aliases(text: Column, aliases: dict[str, str]) -> Column:
+    """Tokens that are an alias but for the punctuation around them, joined by single spaces."""
+    table = F.create_map(*(F.lit(x) for a in aliases.items() if a[1] for x in a))
+
+    def put(token: Column) -> Column:
+        core = F.btrim(token, F.lit(PUNCTUATION))
+        return F.coalesce(F.replace(token, core, F.try_element_at(table, core)), token)
+
+    return F.array_join(F.transform(_tokens(text), put) if any(aliases.values()) else _tokens(text), " ")
+
+
+def snap_tokens(text: Column, vocabulary: tuple[str, ...], aliases: dict[str, str], threshold: float = 0.78) -> Column:
+    """Aliases, then each token snapped on its own."""
+    return F.array_join(F.transform(_tokens(apply_aliases(text, aliases)), lambda t: snap(t, vocabulary, threshold)), " ")
+
+
 def text_lines(text: Column) -> Column:
     """Trimmed lines, without blank ones and page markers."""
     return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^-+\s*(?i:page)\s*\d+\s*-+$"))
