@@ -9,7 +9,8 @@ document. Candidates are verified by exact containment of the full sets.
 Items are put to the documents in blocks of at most ``BLOCK_SHINGLES`` shingles, a constant of the
 plan for each block, so documents are neither shuffled nor joined, whatever the skew.
 
-Shingles are five words between white space, in lower case; of fewer words, the whole sequence.
+Shingles are five words between white space, in lower case; of fewer words, the whole sequence. So an
+item of fewer than five words is found only in a document of the same words, as the SQL says.
 
 Edge cases: null or empty documents hold nothing; null or empty items are in nothing; null ids are
 kept as null; repeated documents each count, repeated items give repeated pairs; empty tables give
