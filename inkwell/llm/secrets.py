@@ -77,7 +77,7 @@ def spans_of_text() -> Column:
     assign = _where(named & test, _matches(ASSIGN, "assign", 2, MIN_VALUE))
     access = _where(F.col("text").contains("AKIA"), _matches(ACCESS, "access", 0, MIN_ACCESS, rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}"))
     hexes = _where(F.col("text").rlike(f"[0-9a-f]{{{MIN_HEX}}}"), _matches(HEX, "hex", 0, MIN_HEX, rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}"))
-    mixed = F.col("text").rlike("[0-9][A-Za-z]|[A-Za-z][0-9]") & F.col("text").rlike(rf"[A-Za-z0-9_-]{{{MIN_TOKEN}}}")
+    mixed = F.col("text").rlike(rf"[A-Za-z0-9_-]{{{MIN_TOKEN}}}")
     tokens = _where(mixed, _matches(TOKEN, "token", 0, MIN_TOKEN, rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{MIN_TOKEN},}}"))
     def mixed_enough(x: Column) -> Column:
         return (F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= MIN_MIXED) & (F.length(F.regexp_replace(x["v"], "[^A-Za-z]", "")) >= MIN_MIXED)
