@@ -7,6 +7,7 @@ reliable RDD checkpoints and can be pruned when they are read again.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,12 @@ def drop(*frames: DataFrame) -> None:
             _LIVE.pop(path, None)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of finished jobs: Spark does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _drop_all() -> None:
     for path, spark in list(_LIVE.items()):
         try:

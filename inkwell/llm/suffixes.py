@@ -1,33 +1,43 @@
 """Exact substring dedup: every byte goes that a LENGTH-byte string covers which also starts earlier.
 
-The suffixes that matter are compared on their first LENGTH bytes only, one bucket at a time. A
-bucket holds the suffixes that share an anchor: the GRAM bytes that have the smallest hash among
-those that begin in the string. Equal strings have equal anchors at equal offsets, so they meet in
-one bucket. Anchors are a cover sample of the text: about one position in 31, and every string has
-one. (A cover chosen by position, modulo a number, would sample one position in 7 and would need a
-rank for each over the whole corpus; a cover chosen by content needs ranks only within a bucket.)
-
-The strings of an anchor start in a run of positions. The bytes that the run spans are a long tie
-when copies agree on all of it, and it is resolved at once by the rank of the anchor, a hash of
-those bytes: with equal ranks all but the first occurrence go. Only runs that share an anchor and
-differ in rank, at the ends of repeated passages, are resolved string by string.
-
-A task works on units of UNIT_BYTES of text and resolves what it can within one, so a string that a
-third of all documents repeat leaves a unit once. Units' buckets meet in a shuffle by anchor, then
-the strings still open in a shuffle by string. Texts don't move, but for documents with open strings
-or removed bytes, if there are too many of these to send their positions to all tasks.
-
-Strings are told apart by 96 bits of hash, ranks by 128.
-
-Edge cases: null or empty text, or one shorter than LENGTH bytes, loses nothing. Where doc_ids are
-null or repeat, rows are ordered by doc_id (null last), and rows of one doc_id in an order of their
-own; each row gets its row. An empty table gives an empty result; extra columns are ignored.
+The suffixes of all texts are compared on their first LENGTH bytes, by a difference cover and one
+bucket at a time.
+
+Cover sample. COVER is a difference cover modulo MODULUS: for any two positions i and j there is a
+shift d < MODULUS for which i + d and j + d are both sample positions (position in its document,
+modulo MODULUS, in COVER). So if the strings at i and j are equal, two samples at the same shift
+agree on the WINDOW = LENGTH - MODULUS + 1 bytes from them, and nothing but the samples has to be
+sorted to bring equal strings together: 8 positions in 57.
+
+Ranks. Samples are sorted by window and then by rank, a hash of all bytes that a string through the
+sample can hold (MODULUS - 1 before it, LENGTH from it on). A tie that goes on over all of these is a
+long tie: the strings through two samples of equal rank are equal one by one, so all but the first
+sample's are gone, MODULUS strings at a time and without a look at any of them. A window of one rank
+only is done with. Samples whose window has several ranks stay open.
+
+Suffixes. Only the strings through open samples are sorted themselves, each position once, and all
+but the first of equal ones are gone. These lie at the ends of repeated passages.
+
+Buckets. Samples and strings are dealt in BUCKETS buckets by the leading bits of their hashes. One
+bucket at a time is read off the texts, sorted over all tasks, resolved and freed, so disk holds a
+part of the suffixes at a time, whatever the input; a task holds a batch of sorted rows and the last
+row before it, however many rows agree. Within a unit of UNIT_BYTES of text repeated samples and
+strings are resolved before the sort, so what a third of all documents repeat leaves a unit once.
+
+Texts don't move, but those of documents with open samples (to read their strings) and with removed
+bytes (to cut them), which are picked out by their keys first. Windows, ranks and strings are told
+apart by 128 bits of hash: 64 and 64, of two independent polynomials over the bytes.
+
+Edge cases: null or empty text, or one shorter than LENGTH bytes, loses nothing. Very long texts are
+read in units; positions are 32-bit unsigned. Where doc_ids are null or repeat, rows are ordered by
+doc_id (null last), and rows of one doc_id in an order of their own; each row gets its row. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,158 +48,94 @@ from inkwell.llm import scratch
 from inkwell.llm.batches import slices, texts
 
 LENGTH = 100
-GRAM = 40
-UNIT_BYTES = 1 << 20
-#: Positions that may be sent to every task; beyond, documents are joined with them.
-BROADCAST_POSITIONS = 4_000_000
-#: Strings of open runs that a task resolves at once.
-OPEN_STRINGS = 400_000
+#: A perfect difference set: each difference modulo 57 but 0 occurs once.
+MODULUS = 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+WINDOW = LENGTH - MODULUS + 1
+#: A multiple of MODULUS, so that a unit's positions keep their residues.
+UNIT_BYTES = MODULUS * 36_000
+#: Buckets of samples and of strings that are sorted one at a time; a power of two.
+BUCKETS = 4
+#: Keys of documents that may be sent to every task to pick out texts; beyond, texts are joined with them.
+BROADCAST_KEYS = 8_000_000
+#: Positions that a task gathers by document before it hands them on.
+GATHERED = 1 << 19
 
 _U = np.uint64
-_TABLE = np.random.default_rng(20_101).integers(0, 1 << 63, 256, np.int64).astype(_U) * _U(2) + _U(1)
-_ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_RNG = np.random.default_rng(20_101)
+_TABLES = _RNG.integers(0, 1 << 64, (2, 256), _U)
+_BASES = (0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93 | 3)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+#: Sample positions of a unit.
+_SAMPLES = (np.arange(0, UNIT_BYTES, MODULUS, dtype=np.int64)[:, None] + np.array(COVER)).ravel()
 
 
-def _join(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
-    """Hashes of two parts of a string, as a hash of both."""
-    x = a * _ODD[odd]
-    x += b
-    x ^= x >> _U(31)
-    x *= _ODD[(odd + 3) % 8]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
     x ^= x >> _U(29)
+    x *= _U(0xA0761D6478BD642F)
+    x ^= x >> _U(32)
     return x
 
 
+class Hasher:
+    """Hashes of substrings: differences of prefix sums of byte values times powers of a base."""
+
+    def __init__(self) -> None:
+        self.size = 0
+
+    def _grow(self, n: int) -> None:
+        if n > self.size:
+            self.size = max(n, UNIT_BYTES + 4096)
+            steps = [np.full(self.size, b, _U) for b in (*_BASES, *_INVERSES)]
+            for s in steps:
+                s[0] = 1
+                np.multiply.accumulate(s, out=s)
+            self.up, self.down = steps[:2], steps[2:]
+
+    def of(self, data: np.ndarray) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+        """A function of (which polynomial, starts, ends) that gives the hashes of data[start:end]."""
+        n = len(data)
+        self._grow(n)
+        sums: dict[int, np.ndarray] = {}
+
+        def hashes(which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            if which not in sums:
+                s = sums[which] = np.zeros(n + 1, _U)
+                np.cumsum(_TABLES[which][data] * self.up[which][:n], out=s[1:])
+            s = sums[which]
+            return _mixed((s[end] - s[start]) * self.down[which][start])
+
+        return hashes
+
+
 class Unit:
-    """Some texts, one after another, with hashes of their substrings."""
-
-    def __init__(self, parts: list[tuple[int, int, np.ndarray]]) -> None:
-        """parts: order key of the document, offset in it, bytes."""
-        self.keys = np.array([k for k, _, _ in parts], np.int64)
-        self.offsets = np.array([o for _, o, _ in parts], np.int64)
-        sizes = np.array([len(b) for _, _, b in parts], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        data = np.concatenate([b for _, _, b in parts])
-        self.n = len(data)
-        g = _TABLE[data]
-        self.by: dict[int, np.ndarray] = {}
-        for i, size in enumerate((1, 2, 4, 8, 16, 32)):
-            if size in (4, 8, 32):
-                self.by[size] = g
-            if len(g) <= size:
-                break
-            if size < 32:
-                g = _join(g[:-size], g[size:], i)
-
-    def gram(self, at: np.ndarray | slice) -> np.ndarray:
-        return _join(self.by[32][at], self.by[8][32:][at], 6)
-
-    def string(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the LENGTH bytes from each position."""
-        a, b, c, d = self.by[32][at], self.by[32][at + 32], self.by[32][at + 64], self.by[4][at + 96]
-        return _join(_join(a, b, 0), _join(c, d, 1), 2), _join(_join(a, c, 3), _join(b, d, 4), 5)
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last start, anchor hash and rank of each run of strings that share an anchor."""
-        n = self.n - LENGTH + 1
-        if n <= 0:
-            none = np.empty(0, np.int64)
-            return none, none, none.astype(_U), none.astype(_U)
-        low = _U((1 << 24) - 1)
-        grams = self.gram(slice(0, self.n - GRAM + 1))
-        least = (grams & ~low) | np.arange(len(grams), dtype=_U)
-        for s in (1, 2, 4, 8, 16):
-            least = np.minimum(least[:-s], least[s:])
-        rest = LENGTH - GRAM + 1 - 32
-        anchor = (np.minimum(least[:-rest], least[rest:]) & low).astype(np.int64)
-        part = np.searchsorted(self.ends, np.arange(n), side="right")
-        valid = np.arange(n) + LENGTH <= self.ends[part]
-        change = np.empty(n, bool)
-        change[0] = True
-        change[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (valid[1:] != valid[:-1])
-        first = np.flatnonzero(change)
-        last = np.append(first[1:], n) - 1
-        keep = valid[first]
-        first, last = first[keep], last[keep]
-        at = anchor[first]
-        span = last - first + LENGTH
-        whole = self.by[32]
-        rank = _join(_join(whole[first], whole[first + 32], 0), _join(whole[first + 64], whole[first + span - 64], 1), 2)
-        rank = _join(_join(rank, whole[first + span - 32], 3), ((span << 8) | (at - first)).astype(_U), 4)
-        return first, last, grams[at], rank
-
-    def order(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The document's key and the position in it."""
-        part = np.searchsorted(self.ends, at, side="right")
-        return self.keys[part], at - self.starts[part] + self.offsets[part]
-
-
-#: Kinds of rows: removed bytes (a: start, b: end), a run (a: first start, b: strings), a marker of an
-#: anchor resolved string by string, a string (a: start, b: more hash).
-GONE, RUN, MARK, STRING = 0, 1, 2, 3
-ROWS = "kind tinyint, h bigint, rank bigint, key bigint, a bigint, b bigint"
-SCHEMA = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("rank", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-
-def _rows(kind: int, h, rank, key, a, b) -> pa.RecordBatch:
-    n = len(key)
-
-    def signed(x):
-        x = np.broadcast_to(np.asarray(x), n)
-        return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == _U else x.astype(np.int64))
-
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), signed(h), signed(rank), signed(key), signed(a), signed(b)], schema=SCHEMA)
-
-
-def _gone(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Intervals of documents, merged where they overlap or touch."""
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    if not len(key):
-        return _rows(GONE, 0, 0, key, start, end)
-    # Ends so far, by document: documents are set apart by more than any text is long.
-    group = np.cumsum(np.append(True, key[1:] != key[:-1])) * (1 << 40)
-    reach = np.maximum.accumulate(end + group)
-    new = np.append(True, start[1:] + group[1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1
-    # They go through a shuffle by h that isn't meant for them; the key spreads them.
-    return _rows(GONE, key[first].view(_U) * _ODD[0], 0, key[first], start[first], reach[last] - group[last])
-
-
-def _firsts(*columns: np.ndarray, key: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by columns, key and a, and which of it is the first with its columns."""
-    order = np.lexsort((a, key, *reversed(columns)))
-    first = np.ones(len(order), bool)
-    if len(order):
-        first[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
-    return order, first
-
-
-def _strings(unit: Unit, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The strings of runs: what repeats in the unit is gone, the others are handed on."""
-    sizes = last - first + 1
-    for i in np.split(np.arange(len(first)), np.flatnonzero(np.diff(np.cumsum(sizes) // OPEN_STRINGS)) + 1):
-        at = np.repeat(first[i] - np.append(0, np.cumsum(sizes[i])[:-1]), sizes[i]) + np.arange(sizes[i].sum())
-        h, more = unit.string(at)
-        key, pos = unit.order(at)
-        order, once = _firsts(h, more, key=key, a=pos)
-        again = order[~once]
-        yield _gone(key[again], pos[again], pos[again] + LENGTH)
-        once = order[once]
-        # The position and 32 bits more of hash.
-        yield _rows(STRING, h[once], more[once] >> _U(32), key[once], pos[once], 0)
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
+    """Parts of texts, one after another: of each the key, where it begins in its text and in the unit, the text's length, and its own range."""
+
+    def __init__(self, parts: list[tuple]) -> None:
+        """parts: key, bytes, offset of these in the text, length of the text, first and last position that is the part's own, and what else belongs to it."""
+        self.parts = parts
+        self.keys = np.array([p[0] for p in parts], np.int64)
+        self.offsets = np.array([p[2] for p in parts], np.int64)
+        self.lengths = np.array([p[3] for p in parts], np.int64)
+        sizes = np.array([len(p[1]) for p in parts], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.data = np.concatenate([p[1] for p in parts])
+
+
+def units(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[Unit]:
+    """Units of rows with key and text; a part has the bytes around its own range that strings through its samples hold."""
     parts, size = [], 0
     for b in slices(batches):
-        for key, text in zip(b["key"].to_pylist(), texts(b["text"]), strict=True):
+        others = [b[c].to_pylist() for c in extra]
+        for i, (key, text) in enumerate(zip(b["key"].to_pylist(), texts(b["text"]), strict=True)):
             data = np.frombuffer(text.encode(), np.uint8)
-            for at in range(0, len(data) - LENGTH + 1, UNIT_BYTES):
-                parts.append((key, at, data[at : at + UNIT_BYTES + LENGTH - 1]))
-                size += len(parts[-1][2])
+            for at in range(0, len(data) - LENGTH + 1 and len(data), UNIT_BYTES):
+                begin, end = max(0, at - MODULUS), min(len(data), at + UNIT_BYTES + LENGTH)
+                if len(data) >= LENGTH:
+                    parts.append((key, data[begin:end], begin, len(data), at, min(len(data), at + UNIT_BYTES), *(c[i] for c in others)))
+                    size += end - begin
                 if size >= UNIT_BYTES:
                     yield Unit(parts)
                     parts, size = [], 0
@@ -197,145 +143,215 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
         yield Unit(parts)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of whole texts, resolved within a unit as far as that goes."""
-    for unit in _units(batches):
-        first, last, h, rank = unit.runs()
-        key, pos = unit.order(first)
-        order, once = _firsts(h, rank, key=key, a=pos)
-        again = order[~once]
-        yield _gone(key[again], pos[again], pos[again] + (last - first)[again] + LENGTH)
-        one = order[once]
-        same = h[one][1:] == h[one][:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        yield _rows(RUN, h[one][~shared], rank[one][~shared], key[one][~shared], pos[one][~shared], (last - first + 1)[one][~shared])
-        if shared.any():
-            marked = np.unique(h[one][shared])
-            yield _rows(MARK, marked, 0, np.zeros(len(marked), np.int64), 0, 0)
-            yield from _strings(unit, first[one][shared], last[one][shared])
-
-
-def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows in batches that don't part rows of one h."""
-    rest: dict[str, np.ndarray] | None = None
+def _again(columns: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows are not the first, by key and pos, of those that agree in the columns."""
+    order = np.argsort(columns[0], kind="stable")
+    first = columns[0][order]
+    same = first[1:] == first[:-1]
+    out = np.zeros(len(key), bool)
+    some = order[np.append(same, False) | np.append(False, same)]
+    if len(some):
+        some = some[np.lexsort((pos[some], key[some], *(c[some] for c in reversed(columns))))]
+        equal = np.logical_and.reduce([c[some][1:] == c[some][:-1] for c in columns])
+        out[some[1:][equal]] = True
+    return out
+
+
+#: What is sorted: two hashes, the document's key, the position in it.
+SORTED = "h bigint, r bigint, key bigint, pos bigint"
+#: Positions by document, as little-endian unsigned 32-bit numbers: samples that are gone or open, strings that are gone.
+FOUND = "key bigint, gone binary, open binary, strings binary"
+KINDS = ("gone", "open", "strings")
+_FOUND = pa.schema([("key", pa.int64()), *((k, pa.binary()) for k in KINDS)])
+
+
+def _to_sort(h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(key), pa.array(pos)], ["h", "r", "key", "pos"])
+
+
+class _Gather:
+    """Positions by kind and document, handed on in rows of FOUND."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, kind: str, key: np.ndarray, pos: np.ndarray) -> None:
+        if len(key):
+            self.rows.append((np.full(len(key), KINDS.index(kind), np.int8), key, pos))
+            self.size += len(key)
+
+    def full(self) -> bool:
+        return self.size >= GATHERED
+
+    def out(self) -> pa.RecordBatch:
+        kind, key, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.empty(0, t) for t in (np.int8, np.int64, np.int64))
+        self.rows, self.size = [], 0
+        order = np.lexsort((pos, kind, key))
+        kind, key, pos = kind[order], key[order], pos[order].astype("<u4")
+        at = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.empty(0, np.int64), len(key))
+        blobs: dict[int, list] = {}
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            blobs.setdefault(int(key[s]), [None] * len(KINDS))[kind[s]] = pos[s:e].tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int64()), *(pa.array([x[k] for x in blobs.values()], pa.binary()) for k in range(len(KINDS)))], schema=_FOUND)
+
+
+#: A bit of a position: its unit has found it to be gone.
+_GONE = 1 << 40
+
+
+def _bucket(bucket: int) -> Callable[[np.ndarray], np.ndarray]:
+    bits = BUCKETS.bit_length() - 1
+    return lambda h: np.flatnonzero(h >> _U(64 - bits) == _U(bucket)) if bits else np.arange(len(h))
+
+
+def _first_only(h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows to sort: the first of equal ones in a unit; the others are marked as gone and spread by document."""
+    again = _again([h, r], key, pos)
+    once = np.flatnonzero(~again)
+    yield _to_sort(h[once], r[once], key[once], pos[once])
+    if again.any():
+        key, pos = key[again], pos[again]
+        yield _to_sort(_mixed(key.astype(_U) + _U(1)), np.zeros(len(key), _U), key, pos | _GONE)
+
+
+def _samples(bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cover samples of a bucket, by window and rank."""
+    within = _bucket(bucket)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for unit in units(batches):
+            hashes = hasher.of(unit.data)
+            counts = [int(np.searchsorted(_SAMPLES, min(p[5], p[3] - WINDOW + 1) - p[4])) for p in unit.parts]
+            at = np.concatenate([_SAMPLES[:n] + (p[4] - p[2] + s) for n, p, s in zip(counts, unit.parts, unit.starts.tolist(), strict=True)])
+            part = np.repeat(np.arange(len(counts)), counts)
+            h = hashes(0, at, at + WINDOW)
+            own = within(h)
+            h, at, part = h[own], at[own], part[own]
+            key, pos = unit.keys[part], at - unit.starts[part] + unit.offsets[part]
+            before, after = np.minimum(pos, MODULUS - 1), np.minimum(unit.lengths[part] - pos, LENGTH)
+            r = hashes(1, at - before, at + after) + (before * 128 + after).astype(_U) * _U(_BASES[0])
+            yield from _first_only(h, r, key, pos)
+
+    return run
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted samples: those of a rank that has come before are gone; the first of each rank of a window with several are open."""
+    found = _Gather()
+    last: tuple | None = None  # the first sample of the rank read last, and whether its window has several
     for b in batches:
-        now = {c: b[c].to_numpy(zero_copy_only=False) for c in columns}
-        rest = now if rest is None else {c: np.concatenate([rest[c], now[c]]) for c in columns}
-        cut = int(np.argmax(rest["h"] == rest["h"][-1])) if len(rest["h"]) else 0
-        if cut:
-            yield {c: x[:cut] for c, x in rest.items()}
-            rest = {c: x[cut:] for c, x in rest.items()}
-    if rest is not None and len(rest["h"]):
-        yield rest
-
-
-def _runs_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of all units, sorted by anchor: repeated ranks are gone, runs that differ in rank stay open."""
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _by_group(batches, ("kind", "h", "rank", "key", "a", "b")):
-            mark = np.unique(x["h"][x["kind"] == MARK])
-            x = {c: v[x["kind"] == RUN] for c, v in x.items()}
-            order, once = _firsts(x["h"], x["rank"], key=x["key"], a=x["a"])
-            again = order[~once]
-            yield _gone(x["key"][again], x["a"][again], x["a"][again] + x["b"][again] - 1 + LENGTH)
-            one = order[once]
-            same = x["h"][one][1:] == x["h"][one][:-1]
-            shared = (np.append(same, False) | np.append(False, same)) if len(one) else np.empty(0, bool)
-            shared |= np.isin(x["h"][one], mark)
-            one = one[shared]
-            yield _rows(RUN, 0, 0, x["key"][one], x["a"][one], x["b"][one])
-
-    def run() -> Iterator[pa.RecordBatch]:
-        passed: list[pa.RecordBatch] = []
-
-        def split() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                kind = b["kind"].to_numpy(zero_copy_only=False)
-                met = (kind == RUN) | (kind == MARK)
-                if not met.all():
-                    passed.append(b.filter(pa.array(~met)))
-                if met.any():
-                    yield b.filter(pa.array(met))
-
-        for out in resolve(split()):
-            yield from passed
-            passed.clear()
-            if out.num_rows:
-                yield out
-        yield from passed
-
-    return run()
-
-
-def _strings_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in _by_group(batches, ("h", "rank", "key", "a")):
-        order, once = _firsts(x["h"], x["rank"], key=x["key"], a=x["a"])
-        again = order[~once]
-        out = _gone(x["key"][again], x["a"][again], x["a"][again] + LENGTH)
-        if out.num_rows:
-            yield out
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of open runs (``at``: starts and numbers) of the documents that have any."""
-
-    def emit(parts: list) -> Iterator[pa.RecordBatch]:
-        unit = Unit([p[:3] for p in parts])
-        first = np.concatenate([p[3][:, 0] + s for p, s in zip(parts, unit.starts, strict=True)])
-        last = first + np.concatenate([p[3][:, 1] for p in parts]) - 1
-        yield from _strings(unit, first, last)
+        h, r, key, pos = (b[c].to_numpy() for c in ("h", "r", "key", "pos"))
+        marked = pos >= _GONE
+        if marked.any():
+            found.add("gone", key[marked], pos[marked] & (_GONE - 1))
+            h, r, key, pos = (x[~marked] for x in (h, r, key, pos))
+        if len(h):
+            known = False
+            if last:
+                h, r, key, pos = (np.append(np.int64(v), x) for v, x in zip(last, (h, r, key, pos), strict=False))
+                known = last[4]
+            same = np.append(False, (h[1:] == h[:-1]) & (r[1:] == r[:-1]))
+            found.add("gone", key[same], pos[same])
+            first = np.flatnonzero(~same)
+            shared = h[first][1:] == h[first][:-1]
+            several = np.append(known, shared) | np.append(shared, False)
+            done = first[:-1][several[:-1]]
+            found.add("open", key[done], pos[done])
+            at = first[-1]
+            last = (h[at], r[at], key[at], pos[at], bool(several[-1]))
+        if found.full():
+            yield found.out()
+    if last and last[4]:
+        found.add("open", np.array([last[2]]), np.array([last[3]]))
+    yield found.out()
+
+
+def _strings(bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The strings of a bucket that begin before open samples and aren't gone by a sample's rank."""
+    within = _bucket(bucket)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for unit in units(batches, ("open", "gone")):
+            at = []
+            for (_, data, offset, length, own, end, opened, gone), start in zip(unit.parts, unit.starts.tolist(), strict=True):
+                state = np.zeros(len(data) + 1, bool)
+                for blobs, value in ((opened, True), (gone, False)):
+                    q = np.concatenate([np.frombuffer(x, "<u4") for x in blobs] or [np.empty(0, "<u4")]).astype(np.int64)
+                    step = np.zeros(len(data) + 1, np.int32)
+                    for edge, sign in ((q - MODULUS + 1, 1), (q + 1, -1)):
+                        np.add.at(step, np.clip(edge - offset, 0, len(data)), sign)
+                    state[np.cumsum(step) > 0] = value
+                # Own positions from which a string lies in the text.
+                state[: own - offset] = False
+                state[max(0, min(end, length - LENGTH + 1) - offset) :] = False
+                at.append(np.flatnonzero(state) + start)
+            counts = [len(x) for x in at]
+            at = np.concatenate(at)
+            part = np.repeat(np.arange(len(counts)), counts)
+            hashes = hasher.of(unit.data)
+            h = hashes(0, at, at + LENGTH)
+            chosen = within(h)
+            h, at, part = h[chosen], at[chosen], part[chosen]
+            key, pos = unit.keys[part], at - unit.starts[part] + unit.offsets[part]
+            yield from _first_only(h, hashes(1, at, at + LENGTH), key, pos)
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted strings: all but the first of equal ones are gone."""
+    found = _Gather()
+    last = None
+    for b in batches:
+        h, r, key, pos = (b[c].to_numpy() for c in ("h", "r", "key", "pos"))
+        marked = pos >= _GONE
+        found.add("strings", key[marked], pos[marked] & (_GONE - 1))
+        h, r, key, pos = (x[~marked] for x in (h, r, key, pos))
+        if len(h):
+            before = (h[:1], r[:1] + 1) if last is None else last
+            same = (h == np.append(before[0], h[:-1])) & (r == np.append(before[1], r[:-1]))
+            found.add("strings", key[same], pos[same])
+            last = h[-1:], r[-1:]
+        if found.full():
+            yield found.out()
+    yield found.out()
 
-    parts, size = [], 0
-    for b in slices(batches):
-        for key, text, at in zip(b["key"].to_pylist(), texts(b["text"]), b["at"].to_pylist(), strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
-            runs = np.array([(x["a"], x["b"]) for x in at], np.int64)
-            runs = runs[np.argsort(runs[:, 0])]
-            for i in range(0, len(data), UNIT_BYTES):
-                own = runs[(runs[:, 0] >= i) & (runs[:, 0] < i + UNIT_BYTES)]
-                if len(own):
-                    parts.append((key, i, data[i : i + UNIT_BYTES + LENGTH], own - np.array([i, 0])))
-                    size += len(parts[-1][2])
-                if size >= UNIT_BYTES:
-                    yield from emit(parts)
-                    parts, size = [], 0
-    if parts:
-        yield from emit(parts)
 
+def _buckets(rows: DataFrame, take: Callable, resolve: Callable, label: str) -> list[DataFrame]:
+    """What each bucket of rows gives, one at a time; its shuffle is freed before the next begins."""
+    out = []
+    for bucket in range(BUCKETS):
+        suffixes = rows.mapInArrow(take(bucket), SORTED)
+        out.append(scratch.save(suffixes.repartition("h").sortWithinPartitions("h", "r", "key", "pos").mapInArrow(resolve, FOUND), label))
+        del suffixes
+        scratch.free_shuffles(rows.sparkSession)
+    return out
 
-def _near(docs: DataFrame, positions: DataFrame, how: str) -> DataFrame:
-    """docs (key, text) with the positions of each key as ``at``, an array."""
-    by_key = positions.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    if positions.count() <= BROADCAST_POSITIONS:
-        by_key = F.broadcast(by_key)
-    return docs.join(by_key, "key", how)
 
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _chosen(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs whose key is among keys (left_semi), or isn't (left_anti)."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", how)
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        out = []
-        for doc_id, text, at in zip(b["doc_id"].to_pylist(), texts(b["text"]), b["at"].to_pylist(), strict=True):
-            data, kept, done, removed, spans = text.encode(), hashlib.sha256(), 0, 0, 0
-            merged: list[list[int]] = []
-            for s, e in sorted((x["a"], x["b"]) for x in at or ()):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            for s, e in merged:
-                kept.update(data[done:s])
-                done, removed, spans = e, removed + e - s, spans + 1
-            kept.update(data[done:])
-            out.append((doc_id, len(data), removed, spans, kept.hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+def _joined(docs: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """docs with the positions of their keys: of each kind an array of blobs."""
+    by_key = found.groupBy("key").agg(*(F.collect_list(k).alias(k) for k in kinds))
+    return docs.join(by_key, "key")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and key: the order of the rows. It's the id itself where ids are a key."""
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = given.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if counts.isEmpty():
         return given.withColumn("key", F.col("doc_id"))
@@ -344,22 +360,58 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed(given: DataFrame) -> DataFrame:
-    """(key, a, b): intervals of bytes that go, which may overlap; given has key and text."""
-    runs = given.select("key", "text").mapInArrow(_anchored, ROWS)
-    met = scratch.save(runs.repartition("h").sortWithinPartitions("h").mapInArrow(_runs_met, ROWS), "runs")
-    opened = _near(given.select("key", "text"), met.where(F.col("kind") == RUN).select("key", "a", "b"), "inner").mapInArrow(_open, ROWS)
-    opened = scratch.save(opened, "strings")
-    strings = met.where(F.col("kind") == STRING).unionByName(opened.where(F.col("kind") == STRING)).select("h", "rank", "key", "a")
-    last = strings.repartition("h").sortWithinPartitions("h").mapInArrow(_strings_met, ROWS)
-    gone = [x.where(F.col("kind") == GONE).select("key", "a", "b") for x in (met, opened)]
-    return scratch.save(gone[0].unionByName(gone[1]).unionByName(last.select("key", "a", "b")), "gone")
+    """Rows of FOUND: the samples (gone) and strings through or from which bytes go; given has key and text."""
+    given = given.select("key", "text")
+    ranks = _buckets(given, _samples, _ranked, "ranks")
+    opened = scratch.save(_together(ranks).where("open is not null").select("key").distinct(), "open-keys")
+    docs = scratch.save(_joined(_chosen(given, opened, "left_semi"), _together(ranks), ("gone", "open")), "open")
+    scratch.drop(opened)
+    scratch.free_shuffles(given.sparkSession)
+    strings = _buckets(docs, _strings, _repeated, "strings")
+    scratch.drop(docs)
+    return _together([*ranks, *strings]).where("gone is not null or strings is not null").select("key", "gone", "strings")
+
+
+def _intervals(n: int, gone: list[bytes], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal removed runs of a text of n bytes."""
+    q = np.concatenate([np.frombuffer(x, "<u4") for x in gone] or [np.empty(0, "<u4")]).astype(np.int64)
+    i = np.concatenate([np.frombuffer(x, "<u4") for x in strings] or [np.empty(0, "<u4")]).astype(np.int64)
+    start = np.append(np.maximum(0, q - MODULUS + 1), i)
+    end = np.append(np.minimum(q + LENGTH, n), i + LENGTH)
+    # A sample near both ends of a short text has no string through it.
+    whole = end - start >= LENGTH
+    order = np.argsort(start[whole], kind="stable")
+    start, end = start[whole][order], np.maximum.accumulate(end[whole][order])
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1])) if len(start) else np.empty(0, np.int64)
+    return start[new], end[np.append(new[1:], len(start)) - 1] if len(new) else end[:0]
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        out = []
+        for doc_id, text, gone, strings in zip(b["doc_id"].to_pylist(), texts(b["text"]), b["gone"].to_pylist(), b["strings"].to_pylist(), strict=True):
+            data, kept, done = text.encode(), hashlib.sha256(), 0
+            starts, ends = _intervals(len(data), gone or [], strings or [])
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                kept.update(data[done:s])
+                done = e
+            kept.update(data[done:])
+            out.append((doc_id, len(data), int((ends - starts).sum()), len(starts), kept.hexdigest()))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     given = keyed(docs)
-    joined = _near(given, removed(given), "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = removed(given)
+    keys = scratch.save(found.select("key").distinct(), "cut-keys")
+    cut = _joined(_chosen(given, keys, "left_semi"), found, ("gone", "strings"))
+    none = F.array().cast("array<binary>")
+    whole = _chosen(given, keys, "left_anti").select("*", none.alias("gone"), none.alias("strings"))
+    columns = ("doc_id", "text", "gone", "strings")
+    return cut.select(*columns).unionByName(whole.select(*columns)).mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
