@@ -9,20 +9,24 @@ modulo MODULUS, in COVER). So if the strings at i and j are equal, two samples a
 agree on the WINDOW = LENGTH - MODULUS + 1 bytes from them, and nothing but the samples has to be
 sorted to bring equal strings together: 8 positions in 57.
 
-Ranks. Samples are sorted by window and then by rank, a hash of all bytes that a string through the
+Ranks. Samples are sorted by window and then by rank, hashes of all bytes that a string through the
 sample can hold (MODULUS - 1 before it, LENGTH from it on). A tie that goes on over all of these is a
 long tie: the strings through two samples of equal rank are equal one by one, so all but the first
 sample's are gone, MODULUS strings at a time and without a look at any of them. A window of one rank
-only is done with. Samples whose window has several ranks stay open.
+only is done with. Of the others, two samples can have equal strings through them only if they agree
+on HALF bytes more on one side; samples that do stay open on that side.
 
 Suffixes. Only the strings through open samples are sorted themselves, each position once, and all
 but the first of equal ones are gone. These lie at the ends of repeated passages.
 
-Buckets. Samples and strings are dealt in BUCKETS buckets by the leading bits of their hashes. One
-bucket at a time is read off the texts, sorted over all tasks, resolved and freed, so disk holds a
-part of the suffixes at a time, whatever the input; a task holds a batch of sorted rows and the last
-row before it, however many rows agree. Within a unit of UNIT_BYTES of text repeated samples and
-strings are resolved before the sort, so what a third of all documents repeat leaves a unit once.
+Buckets. Samples and strings are dealt by the leading bits of their hashes in passes, and these in
+small buckets. One pass at a time is read off the texts, dealt, resolved and freed, so disk holds a
+part of the suffixes at a time, whatever the input. A task sorts one bucket at a time, in runs of
+RUN rows: of a run only the first of each rank (or string) is kept for the next one. Buckets grow in
+number with the texts; a window that very many ranks share, of which a task would hold too many, has
+them all handed on as open, which costs their strings a look and loses nothing. Within a unit of
+UNIT_BYTES of text repeated samples and strings are resolved before they are dealt, so what a third
+of all documents repeat leaves a unit once.
 
 Texts don't move, but those of documents with open samples (to read their strings) and with removed
 bytes (to cut them), which are picked out by their keys first. Windows, ranks and strings are told
@@ -45,17 +49,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import scratch
-from inkwell.llm.batches import slices, texts
+from inkwell.llm.batches import slices
 
 LENGTH = 100
 #: A perfect difference set: each difference modulo 57 but 0 occurs once.
 MODULUS = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 WINDOW = LENGTH - MODULUS + 1
+#: Bytes that a pair of samples has to agree on before or after the window.
+HALF = (LENGTH - WINDOW) // 2
 #: A multiple of MODULUS, so that a unit's positions keep their residues.
 UNIT_BYTES = MODULUS * 36_000
-#: Buckets of samples and of strings that are sorted one at a time; a power of two.
-BUCKETS = 4
+#: Passes over the texts for samples and for strings; powers of two.
+SAMPLE_PASSES, STRING_PASSES = 4, 2
+#: Rows of a bucket that are meant to be there, and the least number of buckets in a pass.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 19, 1 << 10
+#: Rows that a task sorts at once, and ranks of one window that it keeps if it has to keep too many.
+RUN, WINDOW_RANKS = 1 << 20, 64
+#: Rows of a unit's samples or strings that are dealt together.
+DEALT = 1 << 18
 #: Keys of documents that may be sent to every task to pick out texts; beyond, texts are joined with them.
 BROADCAST_KEYS = 8_000_000
 #: Positions that a task gathers by document before it hands them on.
@@ -97,7 +109,7 @@ class Hasher:
     def of(self, data: np.ndarray) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
         """A function of (which polynomial, starts, ends) that gives the hashes of data[start:end]."""
         n = len(data)
-        self._grow(n)
+        self._grow(n + 1)
         sums: dict[int, np.ndarray] = {}
 
         def hashes(which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -124,18 +136,25 @@ class Unit:
         self.data = np.concatenate([p[1] for p in parts])
 
 
+def _bytes(column: pa.Array) -> list[np.ndarray]:
+    """The UTF-8 bytes of each text of a column without nulls, as views."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return [data[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+
+
 def units(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[Unit]:
-    """Units of rows with key and text; a part has the bytes around its own range that strings through its samples hold."""
+    """Units of rows with key and text (no nulls); a part has the bytes around its own range that strings through its samples hold."""
     parts, size = [], 0
     for b in slices(batches):
         others = [b[c].to_pylist() for c in extra]
-        for i, (key, text) in enumerate(zip(b["key"].to_pylist(), texts(b["text"]), strict=True)):
-            data = np.frombuffer(text.encode(), np.uint8)
-            for at in range(0, len(data) - LENGTH + 1 and len(data), UNIT_BYTES):
-                begin, end = max(0, at - MODULUS), min(len(data), at + UNIT_BYTES + LENGTH)
-                if len(data) >= LENGTH:
-                    parts.append((key, data[begin:end], begin, len(data), at, min(len(data), at + UNIT_BYTES), *(c[i] for c in others)))
-                    size += end - begin
+        for i, (key, data) in enumerate(zip(b["key"].to_pylist(), _bytes(b["text"]), strict=True)):
+            n = len(data)
+            for at in range(0, n if n >= LENGTH else 0, UNIT_BYTES):
+                begin, end = max(0, at - MODULUS), min(n, at + UNIT_BYTES + LENGTH)
+                parts.append((key, data[begin:end], begin, n, at, min(n, at + UNIT_BYTES), *(c[i] for c in others)))
+                size += end - begin
                 if size >= UNIT_BYTES:
                     yield Unit(parts)
                     parts, size = [], 0
@@ -145,7 +164,7 @@ def units(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Ite
 
 def _again(columns: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Which rows are not the first, by key and pos, of those that agree in the columns."""
-    order = np.argsort(columns[0], kind="stable")
+    order = np.argsort(columns[0])
     first = columns[0][order]
     same = first[1:] == first[:-1]
     out = np.zeros(len(key), bool)
@@ -157,18 +176,16 @@ def _again(columns: list[np.ndarray], key: np.ndarray, pos: np.ndarray) -> np.nd
     return out
 
 
-#: What is sorted: two hashes, the document's key, the position in it.
-SORTED = "h bigint, r bigint, key bigint, pos bigint"
-#: Positions by document, as little-endian unsigned 32-bit numbers: samples that are gone or open, strings that are gone.
-FOUND = "key bigint, gone binary, open binary, strings binary"
-KINDS = ("gone", "open", "strings")
+#: What is dealt: rows of a bucket as arrays side by side: two hashes, the document's key, the position in it, and of samples two hashes
+#: of 16 bits, of the HALF bytes before and after the window. Without hashes: rows that are gone.
+DEALT_ROWS = "bucket int, h binary, r binary, key binary, pos binary, near binary"
+_COLUMNS = {"h": np.uint64, "r": np.uint64, "key": np.int64, "pos": np.uint32, "near": np.uint32}
+#: Positions by document, as little-endian unsigned 32-bit numbers: samples that are gone, or open on a side, and strings that are gone.
+FOUND = "key bigint, gone binary, before binary, after binary, strings binary"
+KINDS = ("gone", "before", "after", "strings")
 _FOUND = pa.schema([("key", pa.int64()), *((k, pa.binary()) for k in KINDS)])
 
 
-def _to_sort(h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(r.view(np.int64)), pa.array(key), pa.array(pos)], ["h", "r", "key", "pos"])
-
-
 class _Gather:
     """Positions by kind and document, handed on in rows of FOUND."""
 
@@ -185,152 +202,244 @@ class _Gather:
         return self.size >= GATHERED
 
     def out(self) -> pa.RecordBatch:
-        kind, key, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.empty(0, t) for t in (np.int8, np.int64, np.int64))
+        kind, key, pos = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.empty(0, t) for t in (np.int8, np.int64, np.uint32))
         self.rows, self.size = [], 0
         order = np.lexsort((pos, kind, key))
         kind, key, pos = kind[order], key[order], pos[order].astype("<u4")
-        at = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.empty(0, np.int64), len(key))
+        at = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.empty(0, np.int64), len(key)).tolist()
         blobs: dict[int, list] = {}
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        for s, e in zip(at, at[1:], strict=False):
             blobs.setdefault(int(key[s]), [None] * len(KINDS))[kind[s]] = pos[s:e].tobytes()
         return pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int64()), *(pa.array([x[k] for x in blobs.values()], pa.binary()) for k in range(len(KINDS)))], schema=_FOUND)
 
 
-#: A bit of a position: its unit has found it to be gone.
-_GONE = 1 << 40
-
-
-def _bucket(bucket: int) -> Callable[[np.ndarray], np.ndarray]:
-    bits = BUCKETS.bit_length() - 1
-    return lambda h: np.flatnonzero(h >> _U(64 - bits) == _U(bucket)) if bits else np.arange(len(h))
-
+def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The parts of an array between the places in ``at``, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
-def _first_only(h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows to sort: the first of equal ones in a unit; the others are marked as gone and spread by document."""
-    again = _again([h, r], key, pos)
-    once = np.flatnonzero(~again)
-    yield _to_sort(h[once], r[once], key[once], pos[once])
-    if again.any():
-        key, pos = key[again], pos[again]
-        yield _to_sort(_mixed(key.astype(_U) + _U(1)), np.zeros(len(key), _U), key, pos | _GONE)
 
+class _Dealer:
+    """Rows of units, without repeats in a unit, in rows of DEALT_ROWS."""
 
-def _samples(bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The cover samples of a bucket, by window and rank."""
-    within = _bucket(bucket)
+    def __init__(self, passes: int, buckets: int) -> None:
+        self.shift, self.buckets = _U(64 - (passes.bit_length() - 1) - (buckets.bit_length() - 1)), buckets
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.gone: list[tuple[np.ndarray, ...]] = []
+        self.size = self.turn = 0
+
+    def add(self, h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray, near: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        pos = pos.astype(np.uint32)
+        rows = (h, r, key, pos) if near is None else (h, r, key, pos, near)
+        again = _again([h, r], key, pos)
+        if again.any():
+            self.gone.append((key[again], pos[again]))
+            rows = tuple(x[~again] for x in rows)
+        self.rows.append(rows)
+        self.size += len(rows[0])
+        if self.size >= DEALT:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", *_COLUMNS]
+        if self.rows:
+            rows = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+            bucket = ((rows[0] >> self.shift) & _U(self.buckets - 1)).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order].astype(np.int32)
+            at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64), len(bucket))
+            if len(bucket):
+                blobs = [_blobs(x[order], at) for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), *blobs, *[pa.nulls(len(at) - 1, pa.binary())] * (5 - len(blobs))], names)
+        if self.gone:
+            key, pos = (np.concatenate(c) for c in zip(*self.gone, strict=True))
+            at = np.array([0, len(key)])
+            # Any bucket will do; they take turns.
+            self.turn = (self.turn * 31 + int(key[0]) + 17) % self.buckets
+            none = pa.array([None], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([self.turn], pa.int32()), none, none, _blobs(key, at), _blobs(pos, at), none], names)
+        self.rows, self.gone, self.size = [], [], 0
+
+
+def _in_pass(number: int, passes: int) -> Callable[[np.ndarray], np.ndarray]:
+    bits = passes.bit_length() - 1
+    return lambda h: np.flatnonzero(h >> _U(64 - bits) == _U(number)) if bits else np.arange(len(h))
+
+
+def _samples(number: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cover samples of a pass, by window and rank."""
+    within = _in_pass(number, SAMPLE_PASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, dealer = Hasher(), _Dealer(SAMPLE_PASSES, buckets)
         for unit in units(batches):
             hashes = hasher.of(unit.data)
-            counts = [int(np.searchsorted(_SAMPLES, min(p[5], p[3] - WINDOW + 1) - p[4])) for p in unit.parts]
+            counts = np.searchsorted(_SAMPLES, [min(p[5], p[3] - WINDOW + 1) - p[4] for p in unit.parts]).tolist()
             at = np.concatenate([_SAMPLES[:n] + (p[4] - p[2] + s) for n, p, s in zip(counts, unit.parts, unit.starts.tolist(), strict=True)])
-            part = np.repeat(np.arange(len(counts)), counts)
             h = hashes(0, at, at + WINDOW)
             own = within(h)
-            h, at, part = h[own], at[own], part[own]
-            key, pos = unit.keys[part], at - unit.starts[part] + unit.offsets[part]
-            before, after = np.minimum(pos, MODULUS - 1), np.minimum(unit.lengths[part] - pos, LENGTH)
-            r = hashes(1, at - before, at + after) + (before * 128 + after).astype(_U) * _U(_BASES[0])
-            yield from _first_only(h, r, key, pos)
+            h, at, part = h[own], at[own], np.repeat(np.arange(len(counts)), counts)[own]
+            pos = at - unit.starts[part] + unit.offsets[part]
+            left, right = np.minimum(pos, MODULUS - 1), np.minimum(unit.lengths[part] - pos, LENGTH)
+            r = hashes(1, at - left, at + right) + (left * 128 + right).astype(_U) * _U(_BASES[0])
+            near = hashes(1, at - np.minimum(left, HALF), at) >> _U(48) << _U(16)
+            near |= hashes(1, at + WINDOW, at + np.minimum(right, WINDOW + HALF)) >> _U(48)
+            yield from dealer.add(h, r, unit.keys[part], pos, near.astype(np.uint32))
+        yield from dealer.out()
 
     return run
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted samples: those of a rank that has come before are gone; the first of each rank of a window with several are open."""
-    found = _Gather()
-    last: tuple | None = None  # the first sample of the rank read last, and whether its window has several
-    for b in batches:
-        h, r, key, pos = (b[c].to_numpy() for c in ("h", "r", "key", "pos"))
-        marked = pos >= _GONE
-        if marked.any():
-            found.add("gone", key[marked], pos[marked] & (_GONE - 1))
-            h, r, key, pos = (x[~marked] for x in (h, r, key, pos))
-        if len(h):
-            known = False
-            if last:
-                h, r, key, pos = (np.append(np.int64(v), x) for v, x in zip(last, (h, r, key, pos), strict=False))
-                known = last[4]
-            same = np.append(False, (h[1:] == h[:-1]) & (r[1:] == r[:-1]))
-            found.add("gone", key[same], pos[same])
-            first = np.flatnonzero(~same)
-            shared = h[first][1:] == h[first][:-1]
-            several = np.append(known, shared) | np.append(shared, False)
-            done = first[:-1][several[:-1]]
-            found.add("open", key[done], pos[done])
-            at = first[-1]
-            last = (h[at], r[at], key[at], pos[at], bool(several[-1]))
-        if found.full():
-            yield found.out()
-    if last and last[4]:
-        found.add("open", np.array([last[2]]), np.array([last[3]]))
-    yield found.out()
-
-
-def _strings(bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The strings of a bucket that begin before open samples and aren't gone by a sample's rank."""
-    within = _bucket(bucket)
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in order, put together where they overlap or touch; empty ones are left out."""
+    some = end > start
+    order = np.argsort(start[some], kind="stable")
+    start, end = start[some][order], end[some][order]
+    if not len(start):
+        return start, end
+    end = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return start[new], end[np.append(new[1:], len(start)) - 1]
+
+
+def _numbers(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+
+
+def _open_strings(unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Starts, in the unit, of strings through open samples that aren't gone by a sample's rank; and their parts."""
+    ranges: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+    for (_, _, offset, length, own, end, before, after, gone), s in zip(unit.parts, unit.starts.tolist(), strict=True):
+        low, high = own - offset + s, min(end, length - LENGTH + 1) - offset + s
+        for blobs, first, last, opened in ((before, MODULUS - 1, HALF, True), (after, HALF - 1, 0, True), (gone, MODULUS - 1, 0, False)):
+            if blobs:
+                q = _numbers(blobs) + (s - offset)
+                ranges[opened].append((np.clip(q - first, low, max(low, high)), np.clip(q - last + 1, low, max(low, high))))
+    found = []
+    for opened in (True, False):
+        found.append(_merged(*(np.concatenate(x) for x in zip(*ranges[opened], strict=True))) if ranges[opened] else (np.empty(0, np.int64),) * 2)
+    (start, end), (gone_start, gone_end) = found
+    sizes = end - start
+    at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    if len(gone_start):
+        k = np.searchsorted(gone_start, at, side="right") - 1
+        at = at[(k < 0) | (at >= gone_end[k])]
+    return at, np.searchsorted(unit.starts, at, side="right") - 1
+
+
+def _strings(number: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The strings of a pass that go through open samples."""
+    within = _in_pass(number, STRING_PASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for unit in units(batches, ("open", "gone")):
-            at = []
-            for (_, data, offset, length, own, end, opened, gone), start in zip(unit.parts, unit.starts.tolist(), strict=True):
-                state = np.zeros(len(data) + 1, bool)
-                for blobs, value in ((opened, True), (gone, False)):
-                    q = np.concatenate([np.frombuffer(x, "<u4") for x in blobs] or [np.empty(0, "<u4")]).astype(np.int64)
-                    step = np.zeros(len(data) + 1, np.int32)
-                    for edge, sign in ((q - MODULUS + 1, 1), (q + 1, -1)):
-                        np.add.at(step, np.clip(edge - offset, 0, len(data)), sign)
-                    state[np.cumsum(step) > 0] = value
-                # Own positions from which a string lies in the text.
-                state[: own - offset] = False
-                state[max(0, min(end, length - LENGTH + 1) - offset) :] = False
-                at.append(np.flatnonzero(state) + start)
-            counts = [len(x) for x in at]
-            at = np.concatenate(at)
-            part = np.repeat(np.arange(len(counts)), counts)
+        hasher, dealer = Hasher(), _Dealer(STRING_PASSES, buckets)
+        for unit in units(batches, ("before", "after", "gone")):
+            at, part = _open_strings(unit)
             hashes = hasher.of(unit.data)
             h = hashes(0, at, at + LENGTH)
-            chosen = within(h)
-            h, at, part = h[chosen], at[chosen], part[chosen]
-            key, pos = unit.keys[part], at - unit.starts[part] + unit.offsets[part]
-            yield from _first_only(h, hashes(1, at, at + LENGTH), key, pos)
+            own = within(h)
+            h, at, part = h[own], at[own], part[own]
+            yield from dealer.add(h, hashes(1, at, at + LENGTH), unit.keys[part], at - unit.starts[part] + unit.offsets[part])
+        yield from dealer.out()
+
+    return run
+
+
+def _shared(h: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """Which rows agree with another one in both."""
+    order = np.lexsort((also, h))
+    same = (h[order][1:] == h[order][:-1]) & (also[order][1:] == also[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order] = np.append(same, False) | np.append(False, same)
+    return out
+
+
+def _open_samples(rows: tuple[np.ndarray, ...], found: _Gather) -> None:
+    """Of the first samples of their ranks, those that can have equal strings through them."""
+    order = np.argsort(rows[0])
+    same = rows[0][order][1:] == rows[0][order][:-1]
+    some = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    h, _, key, pos, near = (x[some] for x in rows)
+    for kind, half in (("before", near >> 16), ("after", near & 0xFFFF)):
+        own = _shared(h, half)
+        found.add(kind, key[own], pos[own])
+
+
+def _few_ranks(rows: tuple[np.ndarray, ...], found: _Gather) -> tuple[np.ndarray, ...]:
+    """rows with WINDOW_RANKS ranks of each window at most; of a window that has more, all but the first are open on both sides."""
+    order = np.argsort(rows[0], kind="stable")
+    h = rows[0][order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    sizes = np.diff(np.append(first, len(h)))
+    place, size = np.arange(len(h)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    for kind in ("before", "after"):
+        crowded = order[size > WINDOW_RANKS]
+        found.add(kind, rows[2][crowded], rows[3][crowded])
+    return tuple(x[order][place < WINDOW_RANKS] for x in rows)
+
+
+def _resolve(samples: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of DEALT_ROWS, sorted by bucket: all but the first of equal rows are gone; of samples, what is open then."""
+    kind, columns = ("gone", list(_COLUMNS)) if samples else ("strings", list(_COLUMNS)[:4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Gather()
+        held: list[tuple[np.ndarray, ...]] = []
+        bucket, size = None, 0
+
+        def collapse() -> None:
+            nonlocal held, size
+            rows = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            again = _again(list(rows[:2]), rows[2], rows[3])
+            found.add(kind, rows[2][again], rows[3][again])
+            rows = tuple(x[~again] for x in rows)
+            if samples and len(rows[0]) > RUN // 2:
+                rows = _few_ranks(rows, found)
+            held, size = [rows], len(rows[0])
+
+        def finish() -> None:
+            nonlocal held, size
+            if held:
+                collapse()
+                if samples:
+                    _open_samples(held[0], found)
+            held, size = [], 0
+
+        for b in batches:
+            for row in b.to_pylist():
+                if row["bucket"] != bucket:
+                    finish()
+                    bucket = row["bucket"]
+                if row["h"] is None:
+                    found.add(kind, *(np.frombuffer(row[c], _COLUMNS[c]) for c in ("key", "pos")))
+                else:
+                    held.append(tuple(np.frombuffer(row[c], _COLUMNS[c]) for c in columns))
+                    size += len(held[-1][0])
+                if size >= RUN:
+                    collapse()
+                if found.full():
+                    yield found.out()
+        finish()
+        yield found.out()
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted strings: all but the first of equal ones are gone."""
-    found = _Gather()
-    last = None
-    for b in batches:
-        h, r, key, pos = (b[c].to_numpy() for c in ("h", "r", "key", "pos"))
-        marked = pos >= _GONE
-        found.add("strings", key[marked], pos[marked] & (_GONE - 1))
-        h, r, key, pos = (x[~marked] for x in (h, r, key, pos))
-        if len(h):
-            before = (h[:1], r[:1] + 1) if last is None else last
-            same = (h == np.append(before[0], h[:-1])) & (r == np.append(before[1], r[:-1]))
-            found.add("strings", key[same], pos[same])
-            last = h[-1:], r[-1:]
-        if found.full():
-            yield found.out()
-    yield found.out()
-
-
-def _buckets(rows: DataFrame, take: Callable, resolve: Callable, label: str) -> list[DataFrame]:
-    """What each bucket of rows gives, one at a time; its shuffle is freed before the next begins."""
+def _passes(rows: DataFrame, take: Callable, samples: bool, passes: int, buckets: int, label: str) -> list[DataFrame]:
+    """What each pass over rows gives, one at a time; its shuffle is freed before the next begins."""
     out = []
-    for bucket in range(BUCKETS):
-        suffixes = rows.mapInArrow(take(bucket), SORTED)
-        out.append(scratch.save(suffixes.repartition("h").sortWithinPartitions("h", "r", "key", "pos").mapInArrow(resolve, FOUND), label))
-        del suffixes
+    for number in range(passes):
+        dealt = rows.mapInArrow(take(number, buckets), DEALT_ROWS)
+        out.append(scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(samples), FOUND), label))
+        del dealt
         scratch.free_shuffles(rows.sparkSession)
     return out
 
 
+def _buckets(rows: float) -> int:
+    """A power of two, for about BUCKET_ROWS rows in each."""
+    return max(LEAST_BUCKETS, 1 << max(0, int(rows / BUCKET_ROWS)).bit_length())
+
+
 def _together(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -360,43 +469,38 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed(given: DataFrame) -> DataFrame:
-    """Rows of FOUND: the samples (gone) and strings through or from which bytes go; given has key and text."""
+    """Rows of FOUND: the samples (gone) and strings through or from which bytes go; given has key and text, without nulls."""
     given = given.select("key", "text")
-    ranks = _buckets(given, _samples, _ranked, "ranks")
-    opened = scratch.save(_together(ranks).where("open is not null").select("key").distinct(), "open-keys")
-    docs = scratch.save(_joined(_chosen(given, opened, "left_semi"), _together(ranks), ("gone", "open")), "open")
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    ranks = _passes(given, _samples, True, SAMPLE_PASSES, _buckets(size * len(COVER) / MODULUS / SAMPLE_PASSES), "ranks")
+    found = _together(ranks)
+    opened = scratch.save(found.where("before is not null or after is not null").select("key").distinct(), "open-keys")
+    docs = scratch.save(_joined(_chosen(given, opened, "left_semi"), found, ("before", "after", "gone")), "open")
     scratch.drop(opened)
     scratch.free_shuffles(given.sparkSession)
-    strings = _buckets(docs, _strings, _repeated, "strings")
+    strings = _passes(docs, _strings, False, STRING_PASSES, _buckets(size / 10 / STRING_PASSES), "strings")
     scratch.drop(docs)
     return _together([*ranks, *strings]).where("gone is not null or strings is not null").select("key", "gone", "strings")
 
 
-def _intervals(n: int, gone: list[bytes], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal removed runs of a text of n bytes."""
-    q = np.concatenate([np.frombuffer(x, "<u4") for x in gone] or [np.empty(0, "<u4")]).astype(np.int64)
-    i = np.concatenate([np.frombuffer(x, "<u4") for x in strings] or [np.empty(0, "<u4")]).astype(np.int64)
-    start = np.append(np.maximum(0, q - MODULUS + 1), i)
-    end = np.append(np.minimum(q + LENGTH, n), i + LENGTH)
-    # A sample near both ends of a short text has no string through it.
-    whole = end - start >= LENGTH
-    order = np.argsort(start[whole], kind="stable")
-    start, end = start[whole][order], np.maximum.accumulate(end[whole][order])
-    new = np.flatnonzero(np.append(True, start[1:] > end[:-1])) if len(start) else np.empty(0, np.int64)
-    return start[new], end[np.append(new[1:], len(start)) - 1] if len(new) else end[:0]
-
-
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out = []
-        for doc_id, text, gone, strings in zip(b["doc_id"].to_pylist(), texts(b["text"]), b["gone"].to_pylist(), b["strings"].to_pylist(), strict=True):
-            data, kept, done = text.encode(), hashlib.sha256(), 0
-            starts, ends = _intervals(len(data), gone or [], strings or [])
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                kept.update(data[done:s])
-                done = e
+        for doc_id, data, gone, strings in zip(b["doc_id"].to_pylist(), _bytes(b["text"]), b["gone"].to_pylist(), b["strings"].to_pylist(), strict=True):
+            n, kept, done, removed = len(data), hashlib.sha256(), 0, 0
+            starts: list[int] = []
+            if gone or strings:
+                q, i = _numbers(gone), _numbers(strings)
+                start, end = np.append(np.maximum(0, q - MODULUS + 1), i), np.append(np.minimum(q + LENGTH, n), i + LENGTH)
+                # A sample near both ends of a short text has no string through it.
+                whole = end - start >= LENGTH
+                start, end = _merged(start[whole], end[whole])
+                starts, removed = start.tolist(), int((end - start).sum())
+                for s, e in zip(starts, end.tolist(), strict=True):
+                    kept.update(data[done:s])
+                    done = e
             kept.update(data[done:])
-            out.append((doc_id, len(data), int((ends - starts).sum()), len(starts), kept.hexdigest()))
+            out.append((doc_id, n, removed, len(starts), kept.hexdigest()))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = [pa.int64()] * 4 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
