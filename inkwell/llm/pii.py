@@ -1,18 +1,28 @@
 """Personal data: pattern spans, and terms that disclose the protected entities.
 
-A pattern pass finds e-mail addresses, IPv4 addresses, payment cards and phone numbers. Each value
-found is a protected entity c. A term t (a word of four or more letters or digits) of the same
-document discloses c if the residual information about c once t is known is small:
-
-    -log2 p(c | t) <= ``max_residual_bits``,   p(c | t) = n(c, t) / n(t)
-
-where n counts documents of the whole corpus. This is PMI(c; t) >= IC(c) - max_residual_bits with
-IC(c) = -log2 p(c). A pair needs ``min_texts`` different texts, so that a word seen once beside an
-address, or in copies of one text, proves nothing. Such terms become spans of kind ``term`` in the
-documents that hold c, and sanitising replaces them as it does the entities.
-
-Edge cases: null or empty text has no spans; a null doc_id is kept as null; repeated rows each get
-their own row; an empty table gives an empty result; extra columns are ignored.
+A pattern pass finds e-mail addresses, IPv4 addresses, payment cards and phone numbers. What is
+protected is each value found, and what it generalises to: its group (an address's domain, a network
+of 16 bits, a card's issuer, the first four digits of a phone number) and its kind. These are the
+entities c. A term t (a word of four or more letters or digits, outside the spans) of the same
+document discloses c if little information about c is left once t is known, and t is what tells it:
+
+    -log2 p(c | t) <= ``max_residual_bits``       PMI(c; t) = log2 p(c | t) / p(c) >= ``min_pmi_bits``
+
+with p(c | t) = (n(c, t) + n(c) / n) / (n(t) + 1), shares of documents of the whole corpus shrunk
+towards p(c) = n(c) / n by one document's weight. Both the entity and the pair need ``min_texts``
+different texts, so that a word seen once beside an address, or in copies of one text, proves nothing.
+Such terms become spans of kind ``term`` in the documents that hold c, and sanitising replaces them as
+it does the entities; documents without personal data stay as they are.
+
+Counting: terms are counted by task first, over all documents, in the same way for n(t) and n(c, t).
+A term in more than 2 ** max_residual_bits times as many documents as c can't disclose c, so only
+pairs below that are counted, and a document's terms are dealt in ``PARTS`` parts before they meet its
+entities. A kind that a third of all rows hold is summed by task, and by text, before it is dealt.
+
+Edge cases: null or empty text has no spans; a null doc_id is kept as null; texts of any length are
+read whole; of spans that overlap the one that starts first is replaced; a term exactly at a threshold
+discloses; repeated rows each get their own row (and count as one text); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +50,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]{4,}")
 
 MIN_TEXTS = 3
-MAX_RESIDUAL_BITS = 0.32
+#: One bit: with the term known, the entity is as likely there as not.
+MAX_RESIDUAL_BITS = 1.0
+MIN_PMI_BITS = 1.0
+PARTS = 8
 #: Terms that a task counts before it hands the counts on.
 FLUSH = 200_000
-#: Candidate terms that may be sent to every task.
+#: Candidate terms, or pairs, that may be sent to every task; beyond, they are joined.
 CANDIDATES = 300_000
 
 #: What a sanitised text holds in place of a span.
@@ -93,6 +106,19 @@ def entity(kind: str, value: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=16).digest()
 
 
+def entities(kind: str, value: str) -> list[bytes]:
+    """What a value found gives away: itself, its group and its kind."""
+    digits = re.sub("[^0-9]", "", value)
+    group = {"email": value.rpartition("@")[2].lower(), "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+    return [entity(kind, value), *(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in (f"group:{kind}:{group}", f"kind:{kind}"))]
+
+
+def words(text: str) -> set[str]:
+    """The distinct terms outside personal data."""
+    spans = base_spans(text)
+    return {t for t, _, _ in terms(text, spans)} if spans else {w.lower() for w in set(TERM.findall(text))}
+
+
 def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """(word, start, end) outside the spans."""
     covered = sorted((s, e) for _, s, e in spans)
@@ -125,7 +151,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["base_spans"].append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
             found = terms(text, spans) if spans else None
             out["text_key"].append(hashlib.blake2b(text.encode(), digest_size=16).digest() if spans else None)
-            out["entities"].append(list({entity(k, text[s:e]) for k, s, e in spans}) if spans else None)
+            out["entities"].append(list({x for k, s, e in spans for x in entities(k, text[s:e])}) if spans else None)
             for name, i in (("terms", 0), ("starts", 1), ("ends", 2)):
                 out[name].append([t[i] for t in found] if spans else None)
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in ARROW], schema=ARROW)
@@ -138,8 +164,8 @@ def _counts(wanted: Broadcast | None):
         seen: Counter[str] = Counter()
         for b in slices(batches):
             for text in texts(b["text"]):
-                words = set(TERM.findall(text.lower()))
-                seen.update(words if wanted is None else words & wanted.value)
+                found = words(text)
+                seen.update(found if wanted is None else found & wanted.value)
             if len(seen) > FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
                 seen.clear()
@@ -164,27 +190,47 @@ def document_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def find(docs: DataFrame, min_texts: int = MIN_TEXTS, max_residual_bits: float = MAX_RESIDUAL_BITS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join with something large: sent to every task up to CANDIDATES rows."""
+    return F.broadcast(df) if df.count() <= CANDIDATES else df
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, min_texts: int, max_residual_bits: float, min_pmi_bits: float) -> DataFrame:
+    """(entity, term, n_c, n_t, n_ct, p): the pairs of which the term discloses the entity; rows has _scan()'s columns and rid."""
+    held = rows.where("entities is not null").select("rid", "text_key", F.explode("entities").alias("entity"))
+    by_text = held.groupBy("entity", "text_key").agg(F.count("*").alias("n"))
+    known = scratch.save(by_text.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity", "n_c"), "pii-entities")
+    used = rows.where("entities is not null").select("rid", "text_key", F.explode(F.array_distinct("terms")).alias("term"))
+    candidates = used.groupBy("term", "text_key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("term")
+    reach = 2.0**max_residual_bits
+    total = rows.count()
+    most = known.agg(F.coalesce(F.max("n_c"), F.lit(0))).collect()[0][0]
+    counts = scratch.save(document_counts(docs, scratch.save(candidates, "pii-candidates")), "pii-counts").where(F.col("n_t") <= reach * most)
+    # What a document's terms can disclose meets them in PARTS parts.
+    of_row = held.join(_small(known), "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_c")).alias("of_row"))
+    of_row = of_row.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = used.join(_small(counts), "term").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).join(of_row, ["rid", "part"])
+    near = near.select("text_key", "term", "n_t", F.explode(F.filter("of_row", lambda x: F.col("n_t") <= reach * x["n_c"])).alias("x")).select("text_key", "term", "n_t", "x.*")
+    per_text = near.groupBy("entity", "n_c", "term", "n_t", "text_key").agg(F.count("*").alias("n"))
+    pairs = per_text.groupBy("entity", "n_c", "term", "n_t").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).drop("texts")
+    prior = F.col("n_c") / F.lit(float(max(1, total)))
+    pairs = pairs.withColumn("p", (F.col("n_ct") + prior) / (F.col("n_t") + 1))
+    return pairs.where((-F.log2("p") <= max_residual_bits) & (F.log2(F.col("p") / prior) >= min_pmi_bits))
+
+
+def find(docs: DataFrame, min_texts: int = MIN_TEXTS, max_residual_bits: float = MAX_RESIDUAL_BITS, min_pmi_bits: float = MIN_PMI_BITS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, term_spans (strings), a row for each row of docs.
 
-    The pass that finds entities is written to the shared folder; only documents that hold an entity
-    seen in several texts are looked at again, and a second pass counts the words that matter there.
+    The pass that finds entities is written to the shared folder; a second pass counts the words that
+    matter there.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, PASS)
     rows = scratch.save(rows.withColumn("rid", F.monotonically_increasing_id()), "pii")
-    held = rows.where("entities is not null").select("rid", "text_key", F.explode("entities").alias("entity"))
-    often = held.groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity")
-    chosen = held.join(often, "entity", "left_semi").groupBy("rid").agg(F.collect_list("entity").alias("entity"))
-    near = rows.where("entities is not null").select("rid", "text_key", "terms", "starts", "ends").join(chosen, "rid")
-    near = near.select("rid", "text_key", "entity", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t"))
-    near = near.select("rid", "text_key", F.explode("entity").alias("entity"), F.col("t.terms").alias("term"), F.col("t.starts").alias("s"), F.col("t.ends").alias("e"))
-    per_text = near.select("rid", "text_key", "entity", "term").distinct().groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    pairs = scratch.save(pairs.select("entity", "term", "n_ct"), "pii-pairs")
-    counts = document_counts(docs, pairs.select("term").distinct())
-    bits = -F.log2(F.col("n_ct") / F.greatest("n_t", "n_ct"))
-    telling = pairs.join(counts, "term").where(bits <= max_residual_bits).select("entity", "term")
-    marks = near.join(telling, ["entity", "term"], "left_semi").select("rid", "s", "e").distinct()
+    telling = scratch.save(disclosing(docs, rows, min_texts, max_residual_bits, min_pmi_bits).select("entity", "term"), "pii-telling")
+    used = rows.where("entities is not null").select("rid", "entities", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t"))
+    used = used.select("rid", "entities", F.col("t.terms").alias("term"), F.col("t.starts").alias("s"), F.col("t.ends").alias("e"))
+    by_term = telling.groupBy("term").agg(F.collect_set("entity").alias("disclosed"))
+    marks = used.join(_small(by_term), "term").where(F.arrays_overlap("entities", "disclosed")).select("rid", "s", "e")
     marks = marks.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
     marks = marks.select("rid", F.array_join(F.transform("m", lambda m: F.concat(F.lit("term:"), m["s"].cast("string"), F.lit(":"), m["e"].cast("string"))), ",").alias("term_spans"))
     out = rows.select("rid", "doc_id", *(f"n_{k}" for k in KINDS), "base_spans").join(marks, "rid", "left")
