@@ -8,18 +8,41 @@ from pyspark.sql import functions as F
 from inkwell.llm import scratch
 
 MAX_ROUNDS = 60
+#: Nodes that may be sent to every task: those that have more than their share of the links.
+HOT_NODES = 50_000
+#: Links of a node that a join may always meet in one task.
+LINKS = 64
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
 
 
+def _with_least(edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) with m, the smallest neighbour of u; and the table behind it.
+
+    Nodes with more than ``2 * links / HOT_NODES`` neighbours (HOT_NODES of them at most, as links
+    has at most two ends each) are sent to every task; the others meet their links by a shuffle, in
+    which no key has more rows than that.
+    """
+    least = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    most = max(LINKS, 4 * links // HOT_NODES)
+    hot, cold = least.where(F.col("n") > most).drop("n"), least.where(F.col("n") <= most).drop("n")
+    if hot.isEmpty():
+        return edges.join(cold, "u"), least
+    hot = F.broadcast(hot)
+    rest = edges.join(hot.select("u"), "u", "left_anti")
+    return edges.join(hot, "u").unionByName(rest.join(cold, "u")), least
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, label): the smallest node that each node of the links (u, v: bigint) can reach.
 
     Large stars hang a node's larger neighbours on its smallest; small stars do so with the smaller
-    ones. Both need a minimum by node, summed before the shuffle, and a join that may be split where
-    a node has very many links. Rounds grow with the logarithm of the longest path.
+    ones. Both need a minimum by node, summed before the shuffle, and a join with it in which nodes
+    of very many links are set apart. Rounds grow with the logarithm of the longest path.
+
+    Links of a node with itself and repeated ones don't count; without links the result is empty.
     """
     edges = scratch.save(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     state = _state(edges)
@@ -27,13 +50,14 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        starred, least = _with_least(both, state[0])
+        large = scratch.save(starred.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct(), "large")
+        scratch.drop(least)
+        starred, least = _with_least(large, state[0])
+        small = starred.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after = scratch.save(small, "edges")
         now = _state(after)
-        scratch.drop(edges)
+        scratch.drop(edges, large, least)
         edges = after
         if now == state:
             break

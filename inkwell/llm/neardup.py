@@ -6,21 +6,27 @@ indexed: they are split into chunks, and by the pigeonhole principle two signatu
 at most d of them have a chunk that differs in at most d // chunks = 1 (distance() has d: 21 for
 0.85, and 11 chunks). That one error is enumerated: an entry of an index is a chunk with one
 position left out, so a text has INDEXED entries and every pair within d shares one. What is found
-is exact, but signatures are samples: by the binomial law, of pairs at exactly 0.85 about 10 in
-100,000 differ in more indexed positions than that, and 4 in more of all positions than is looked
-at closely; at 0.86 it's 4 in all, at 0.88 fewer than 1.
+is exact, but signatures are samples, and links are lost by them: by the binomial law, of pairs at
+exactly 0.85 about 10 in 100,000 differ in more indexed positions than that; at 0.86 it's 3, at 0.88
+fewer than 1. (A closer look at all positions is 6 deviations wide and loses fewer than 1 in ten
+million.)
 
 Copies (equal sets) are one node. Entries that several nodes share link each of them to the
 smallest, which gives coarse groups that hold every pair the index finds, without listing pairs. A
-group is dealt in blocks of bounded size, and each pair of blocks is compared in a task of its own:
-signatures first, then the full sets of those that might be linked and aren't connected yet. A task
-hands on at most one link per node, and components come from those links. So neither a key, nor a
-group, nor its pairs end up in one task, and nothing is capped.
+group is dealt in blocks of bounded size. First each block meets the first one, and its own nodes
+meet each other: in a group of copies of one text that links nearly all. Then the nodes that aren't
+connected with most of their group meet all its blocks, which leaves no pair out. Pairs are compared
+by signature, then by full set unless they are connected already; a task hands on at most one link
+for each node, and components come from those links. So neither a key, nor a group, nor its pairs
+end up in one task, and nothing is capped. A group of g nodes of which r aren't connected with most
+costs g + g * r / 64 rows.
 
 Edge cases: null or empty text has no shingles and is linked with nothing; with fewer words than a
-shingle the whole sequence is one. A row without doc_id is linked with nothing, its component_id is
-null and it is kept. Of repeated rows each gets a row; rows that share a doc_id are one node, and
-keep() keeps one of them. An empty table gives an empty result; extra columns are ignored.
+shingle the whole sequence is one. Very long texts are hashed whole, in parts. A pair at exactly the
+threshold is linked; of equal candidates the smallest id is kept. A row without doc_id is linked with
+nothing, its component_id is null and it is kept. Of repeated rows each gets a row; rows that share a
+doc_id are one node, and keep() keeps one of them. An empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ POSITIONS = 128
 INDEXED = 64
 PERCENT = 85
 #: Standard deviations of the number of differing positions that a linked pair may be off its mean.
-DEVIATIONS = 4.2
+DEVIATIONS, WIDE = 4.2, 6.0
 BLOCK_NODES = 128
 BLOCK_BYTES = 2 << 20
 #: Ids that may be sent to every task to pick out the texts of coarse groups; beyond, they are joined.
@@ -50,10 +56,10 @@ BROADCAST_IDS = 2_000_000
 SEED = 77_003
 
 
-def distance(percent: int, positions: int) -> int:
-    """Differing positions of a pair at the threshold: the mean and DEVIATIONS deviations."""
+def distance(percent: int, positions: int, deviations: float = DEVIATIONS) -> int:
+    """Differing positions of a pair at the threshold: the mean and some deviations."""
     q = 1 - percent / 100
-    return int(positions * q + DEVIATIONS * (positions * q * (1 - q)) ** 0.5)
+    return int(positions * q + deviations * (positions * q * (1 - q)) ** 0.5)
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +111,28 @@ def entries(percent: int = PERCENT) -> Column:
     return F.explode(F.array(*out))
 
 
-def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of each pair of blocks, from rows sorted by (comp, i, j): one at most for each node."""
-    most = distance(percent, POSITIONS)
+#: Rows of a task, sorted by (comp, i, j): a node, what it is connected with, and its side.
+SIDES = ("comp", "i", "j", "nid", "label", "side", "sig", "set")
+
+
+def _links(percent: int, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between the two sides of each (comp, i, j), and unless ``across`` within side 1: one at most for each node."""
+    most = distance(percent, POSITIONS, WIDE)
 
     def linked(s: np.ndarray, t: np.ndarray) -> bool:
-        small, large = sorted((len(s), len(t)))
-        if 100 * small < percent * large:
-            return False
         both = np.concatenate([s, t])
         both.sort(kind="stable")
         common = int((both[1:] == both[:-1]).sum())
         return 100 * common >= percent * (len(s) + len(t) - common)
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        own = {r[2]: r for r in rows}  # repeated rows once
-        rows = list(own.values())
-        i, j = rows[0][0], rows[0][1]
-        sigs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), POSITIONS)
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        nids = [r[0] for r in rows]
+        sigs = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), POSITIONS)
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in sets])
-        block = np.array([r[3] for r in rows])
-        parent = np.arange(len(rows))
+        side = np.array([r[2] for r in rows])
+        first: dict[int, int] = {}
+        parent = [first.setdefault(r[1], i) for i, r in enumerate(rows)]
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -136,25 +142,25 @@ def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         out = []
         for x in range(len(rows) - 1):
-            near = (sigs[x + 1 :] != sigs[x]).sum(1) <= most
-            near &= 100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x])
-            if i != j:
-                near &= block[x + 1 :] != block[x]
+            rest = slice(x + 1, None)
+            near = (side[rest] != side[x]) if across else (side[rest] + side[x] > 0)
+            near &= 100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])
+            near &= (sigs[rest] != sigs[x]).sum(1) <= most
             for y in (np.flatnonzero(near) + x + 1).tolist():
                 if (a := root(x)) != (b := root(y)) and linked(sets[x], sets[y]):
                     parent[b] = a
-                    out.append((rows[x][2], rows[y][2]))
+                    out.append((nids[x], nids[y]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
         for b in batches:
-            for r in zip(*(b[n].to_pylist() for n in ("comp", "i", "j", "nid", "block", "sig", "set")), strict=True):
+            for r in zip(*(b[n].to_pylist() for n in SIDES), strict=True):
                 if r[:3] != key:
                     if len(rows) > 1:
                         found += compare(rows)
                     key, rows = r[:3], []
-                rows.append(r[1:])
+                rows.append(r[3:])
         if len(rows) > 1:
             found += compare(rows)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
@@ -162,6 +168,47 @@ def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _met(rows: DataFrame, percent: int, across: bool) -> DataFrame:
+    dealt = rows.select(*SIDES).repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return dealt.mapInArrow(_links(percent, across), "u bigint, v bigint")
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(8 * shingles / BLOCK_BYTES)).cast("int")
+
+
+def _block_of(nid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(nid), F.col(blocks)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def group_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect what is linked within each group; members has nid, comp, block, blocks, n, sig and set."""
+    zero = F.lit(0)
+    to = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = members.withColumn("j", F.explode(to)).select("*", zero.alias("i"), F.col("nid").alias("label"), (F.col("j") == F.col("block")).cast("int").alias("side"))
+    links = scratch.save(_met(first, percent, False), "links")
+    # Groups of several blocks that aren't connected yet: what isn't in their largest part meets all their blocks.
+    large = members.where("blocks > 1").select("nid", "comp", "n")
+    if large.isEmpty():
+        return links
+    labels = components(links)
+    told = scratch.save(large.join(labels.select(F.col("u").alias("nid"), "label"), "nid", "left").select("nid", "comp", "n", F.coalesce("label", "nid").alias("label")), "parts")
+    most = told.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = told.join(most, "comp").where("label != main")
+    rows = rest.groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("rows"))
+    if rows.isEmpty():
+        return links
+    rest = rest.join(rows, "comp").select("nid", _block_of("nid", "rows").alias("i"))
+    all_of = members.join(told.select("nid", "label"), "nid")
+    right = all_of.join(rows, "comp").withColumn("i", _each("rows")).select("*", F.col("block").alias("j"), F.lit(1).alias("side"))
+    left = all_of.join(rest, "nid").withColumn("j", _each("blocks")).select("*", zero.alias("side"))
+    return links.unionByName(scratch.save(_met(left.select(*SIDES).unionByName(right.select(*SIDES)), percent, True), "links"))
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (doc_id, nid, digest, ...) with the full set of the text it names."""
     if wanted.count() <= BROADCAST_IDS:
@@ -191,17 +238,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Rows that share a doc_id are one document.
     ids = held.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     coarse = scratch.save(components(stars), "coarse")
-    size = coarse.join(nodes.select(F.col("nid").alias("u"), "n"), "u").groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    size = coarse.join(nodes.select(F.col("nid").alias("u"), "n"), "u").groupBy("label").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     grouped = coarse.join(size, "label").select(F.col("u").alias("nid"), F.col("label").alias("comp"), "blocks")
     grouped = scratch.save(grouped.join(nodes, "nid"), "grouped")
-    sets = scratch.save(_full_sets(docs, grouped.select("doc_id", "nid", "digest")), "sets")
-    dealt = grouped.select("nid", "comp", "blocks", "sig", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
-    dealt = dealt.join(sets, "nid").select("comp", "nid", "sig", "set", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "block", "sig", "set")
-    links = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_links(percent), "u bigint, v bigint")
+    sets = _full_sets(docs, grouped.select("doc_id", "nid", "digest"))
+    members = scratch.save(grouped.select("nid", "comp", "blocks", "n", "sig", _block_of("nid", "blocks").alias("block")).join(sets, "nid"), "members")
+    links = group_links(members, percent)
     same = held.join(ids, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(nodes.select("digest", "nid"), "digest")
     same = same.join(same.groupBy("doc_id").agg(F.min("nid").alias("v")), "doc_id").where("nid != v").select(F.col("nid").alias("u"), "v")
     found = components(links.unionByName(same))
+    scratch.drop(coarse, grouped, members)
     label = nodes.select("nid", "digest", "doc_id").join(found.withColumnRenamed("u", "nid"), "nid", "left").select("digest", "doc_id", F.coalesce("label", "nid").alias("label"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "label").select("digest", "component_id")
