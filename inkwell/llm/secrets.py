@@ -11,11 +11,14 @@ Offsets come from the text split by a pattern and the pattern's matches: a match
 pieces and matches before it end. Texts are looked at closely only behind cheap substring tests.
 
 Counting a value first by (value, repository, owner) and then by value keeps a value that a third
-of all rows hold from meeting in one task.
+of all rows hold from meeting in one task. What is known of the values is then sent to every task up
+to BROADCAST_ROWS of them (counted first); beyond, each value's rows are dealt in SALTS parts.
 
 Edge cases: null or empty text has no spans; a null owner or repository counts as one owner or
 repository of its own; a null doc_id is kept as null; repeated rows each get a row (and count as one
-owner); an empty table gives an empty result; extra columns are ignored.
+owner); texts of any length are read whole; of spans that start together the kind listed first comes
+first, and a value at exactly ``copied_owners`` counts as copied; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 20
 #: Letters and digits that a further candidate needs each.
 MIN_MIXED = 4
 COPIED_OWNERS = 3
-#: Flagged documents that may be sent to every task; beyond, they are joined.
+#: Flagged documents, or values, that may be sent to every task; beyond, they are joined.
 BROADCAST_ROWS = 2_000_000
+SALTS = 16
 MASK = "[secret]"
 
 
@@ -89,13 +93,22 @@ def spans_of_text() -> Column:
     return let(F.array_sort(F.concat(assign, access, hexes)), both)
 
 
-def find(docs: DataFrame, repository: str = "source", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def with_known(held: DataFrame, known: DataFrame) -> DataFrame:
+    """held with the columns of known, by value v; held has rid."""
+    if known.count() <= BROADCAST_ROWS:
+        return held.join(F.broadcast(known), "v")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return held.withColumn("salt", F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).join(known, ["v", "salt"]).drop("salt")
+
+
+def find(docs: DataFrame, repository: str | Column = "source", owner: str | Column = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """doc_id, text_key, base and spans (arrays of s, e, k), n_live, n_copied: a row for each row of docs.
 
     base has the pattern spans. spans has these and further candidates that look live, each with
     ``live``.
     """
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
+    repository, owner = (F.col(c) if isinstance(c, str) else c for c in (repository, owner))
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))
 
     def hashed(spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.unhex(F.md5(x["v"])).alias("v")))
@@ -108,7 +121,7 @@ def find(docs: DataFrame, repository: str = "source", owner: str = "source", cop
     seen = held.groupBy("v", "repository", "owner").agg(F.count("*").alias("n"))
     seen = seen.groupBy("v").agg(F.count_distinct(F.coalesce("repository", F.lit("\x00"))).alias("repositories"), F.count_distinct(F.coalesce("owner", F.lit("\x00"))).alias("owners"))
     copied = seen.select("v", ((F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_owners)).alias("copied"))
-    told = held.join(copied, "v").where((F.col("k") < 3) | ~F.col("copied"))
+    told = with_known(held, scratch.save(copied, "values")).where((F.col("k") < 3) | ~F.col("copied"))
     told = told.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct("s", "k", "e", (~F.col("copied")).alias("live")))).alias("spans"),
         F.sum((~F.col("copied")).cast("bigint")).alias("n_live"),
@@ -128,7 +141,10 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame, **parameters) -> DataFrame:
     """docs with every secret that looks live replaced in ``text`` (and ``n_chars`` brought up to date, if there is one)."""
-    live = find(docs, **parameters).where("n_live > 0").select("doc_id", "text_key", F.filter("spans", lambda x: x["live"]).alias("_spans")).dropDuplicates(["doc_id", "text_key"])
+    held = "_spans"
+    while held in docs.columns:
+        held += "_"
+    live = find(docs, **parameters).where("n_live > 0").select("doc_id", "text_key", F.filter("spans", lambda x: x["live"]).alias(held)).dropDuplicates(["doc_id", "text_key"])
     live = scratch.save(live, "live")
     if live.count() <= BROADCAST_ROWS:
         live = F.broadcast(live)
@@ -139,17 +155,22 @@ def redact(docs: DataFrame, **parameters) -> DataFrame:
         new = F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))
         return F.struct(F.when(x["s"] >= acc["at"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    joined = docs.alias("d").join(live.alias("l"), same, "left").select("d.*", "_spans")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(held, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
+    joined = docs.alias("d").join(live.alias("l"), same, "left").select("d.*", f"l.{held}")
+    joined = joined.withColumn("text", F.when(F.col(held).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col(held).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 
+def repository() -> Column:
+    """What a source holds in one language; null only if both are."""
+    return F.when(F.col("source").isNotNull() | F.col("lang").isNotNull(), F.concat_ws("/", "source", "lang"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: all documents, with their source as repository and owner."""
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    """op2: all documents; owners are their sources, repositories what a source holds in one language."""
+    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), repository(), "source")
     kinds = F.transform("base", lambda x: x["k"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), "n_live", "n_copied")
