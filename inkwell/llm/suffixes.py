@@ -24,9 +24,9 @@ small buckets. One pass at a time is read off the texts, dealt, resolved and fre
 part of the suffixes at a time, whatever the input. A task sorts one bucket at a time, in runs of
 RUN rows: of a run only the first of each rank (or string) is kept for the next one. Buckets grow in
 number with the texts; a window that very many ranks share, of which a task would hold too many, has
-them all handed on as open, which costs their strings a look and loses nothing. Within a unit of
-UNIT_BYTES of text repeated samples and strings are resolved before they are dealt, so what a third
-of all documents repeat leaves a unit once.
+them all handed on as open, which costs their strings a look and loses nothing. Samples and strings
+are dealt DEALT at a time, without those that repeat among these, so what a third of all documents
+repeat is dealt once for some megabytes of text.
 
 Texts don't move, but those of documents with open samples (to read their strings) and with removed
 bytes (to cut them), which are picked out by their keys first. Windows, ranks and strings are told
@@ -59,14 +59,14 @@ WINDOW = LENGTH - MODULUS + 1
 #: Bytes that a pair of samples has to agree on before or after the window.
 HALF = (LENGTH - WINDOW) // 2
 #: A multiple of MODULUS, so that a unit's positions keep their residues.
-UNIT_BYTES = MODULUS * 36_000
+UNIT_BYTES = MODULUS * 4_600
 #: Passes over the texts for samples and for strings; powers of two.
 SAMPLE_PASSES, STRING_PASSES = 4, 2
 #: Rows of a bucket that are meant to be there, and the least number of buckets in a pass.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 19, 1 << 10
 #: Rows that a task sorts at once, and ranks of one window that it keeps if it has to keep too many.
 RUN, WINDOW_RANKS = 1 << 20, 64
-#: Rows of a unit's samples or strings that are dealt together.
+#: Samples or strings that a task deals together.
 DEALT = 1 << 18
 #: Keys of documents that may be sent to every task to pick out texts; beyond, texts are joined with them.
 BROADCAST_KEYS = 8_000_000
@@ -105,19 +105,26 @@ class Hasher:
                 s[0] = 1
                 np.multiply.accumulate(s, out=s)
             self.up, self.down = steps[:2], steps[2:]
+            self.room, self.sums = np.empty(self.size, _U), np.zeros((2, self.size), _U)
 
     def of(self, data: np.ndarray) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
-        """A function of (which polynomial, starts, ends) that gives the hashes of data[start:end]."""
+        """A function of (which polynomial, starts, ends) that gives the hashes of data[start:end], until of() is called again."""
         n = len(data)
         self._grow(n + 1)
-        sums: dict[int, np.ndarray] = {}
+        known: set[int] = set()
 
         def hashes(which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-            if which not in sums:
-                s = sums[which] = np.zeros(n + 1, _U)
-                np.cumsum(_TABLES[which][data] * self.up[which][:n], out=s[1:])
-            s = sums[which]
-            return _mixed((s[end] - s[start]) * self.down[which][start])
+            s = self.sums[which]
+            if which not in known:
+                known.add(which)
+                room = self.room[:n]
+                np.take(_TABLES[which], data, out=room, mode="clip")
+                np.multiply(room, self.up[which][:n], out=room)
+                np.cumsum(room, out=s[1 : n + 1])
+            out = s[end]
+            out -= s[start]
+            out *= self.down[which][start]
+            return _mixed(out)
 
         return hashes
 
@@ -219,45 +226,40 @@ def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 class _Dealer:
-    """Rows of units, without repeats in a unit, in rows of DEALT_ROWS."""
+    """Rows of units, DEALT of them together and without repeats among these, in rows of DEALT_ROWS."""
 
     def __init__(self, passes: int, buckets: int) -> None:
         self.shift, self.buckets = _U(64 - (passes.bit_length() - 1) - (buckets.bit_length() - 1)), buckets
         self.rows: list[tuple[np.ndarray, ...]] = []
-        self.gone: list[tuple[np.ndarray, ...]] = []
         self.size = self.turn = 0
 
     def add(self, h: np.ndarray, r: np.ndarray, key: np.ndarray, pos: np.ndarray, near: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         pos = pos.astype(np.uint32)
-        rows = (h, r, key, pos) if near is None else (h, r, key, pos, near)
-        again = _again([h, r], key, pos)
-        if again.any():
-            self.gone.append((key[again], pos[again]))
-            rows = tuple(x[~again] for x in rows)
-        self.rows.append(rows)
-        self.size += len(rows[0])
+        self.rows.append((h, r, key, pos) if near is None else (h, r, key, pos, near))
+        self.size += len(h)
         if self.size >= DEALT:
             yield from self.out()
 
     def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        rows = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+        self.rows, self.size = [], 0
         names = ["bucket", *_COLUMNS]
-        if self.rows:
-            rows = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
-            bucket = ((rows[0] >> self.shift) & _U(self.buckets - 1)).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order].astype(np.int32)
-            at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64), len(bucket))
-            if len(bucket):
-                blobs = [_blobs(x[order], at) for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), *blobs, *[pa.nulls(len(at) - 1, pa.binary())] * (5 - len(blobs))], names)
-        if self.gone:
-            key, pos = (np.concatenate(c) for c in zip(*self.gone, strict=True))
-            at = np.array([0, len(key)])
+        again = _again(rows[:2], rows[2], rows[3])
+        if again.any():
+            key, pos = rows[2][again], rows[3][again]
+            rows = [x[~again] for x in rows]
+            at, none = np.array([0, len(key)]), pa.array([None], pa.binary())
             # Any bucket will do; they take turns.
             self.turn = (self.turn * 31 + int(key[0]) + 17) % self.buckets
-            none = pa.array([None], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([self.turn], pa.int32()), none, none, _blobs(key, at), _blobs(pos, at), none], names)
-        self.rows, self.gone, self.size = [], [], 0
+        bucket = ((rows[0] >> self.shift) & _U(self.buckets - 1)).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order].astype(np.int32)
+        at = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        blobs = [_blobs(x[order], at) for x in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), *blobs, *[pa.nulls(len(at) - 1, pa.binary())] * (5 - len(blobs))], names)
 
 
 def _in_pass(number: int, passes: int) -> Callable[[np.ndarray], np.ndarray]:
