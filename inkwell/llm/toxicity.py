@@ -1,7 +1,7 @@
 """Toxicity scores: a learnt lexicon in a trie, met with Levenshtein automata, and hits read in context.
 
 The lexicon holds whole words and stems (word beginnings of 3 to 8 characters) that the toxic
-documents of a bounded labelled sample use far more often than the others do. All terms stand in one
+documents of a bounded labelled sample use, outside quotations, far more often than the others do. All terms stand in one
 trie. ``Automaton`` runs the Levenshtein automata of all terms at once over that trie: a state is the
 set of (node, errors) still possible, and states are made as words need them, so that a word costs a
 table lookup per character. Whole words of 5 or more characters may hold one error, of 9 or more
@@ -12,8 +12,9 @@ marks on both sides or words of reporting speech make it a quotation (worth half
 make it abuse (worth a quarter more). A logistic fit on other rows of the sample turns a document's
 sum, its largest hit and their density into a probability.
 
-Edge cases: null and empty texts score as texts without hits; a null doc_id is kept, its held_out is
-null; repeated rows get the same score each; an empty table gives an empty result; without labels of
+Edge cases: null and empty texts score as texts without hits; texts of any length are read whole; a
+null doc_id is kept, its held_out is null; repeated rows get the same score each; of terms that a word
+may be, the weightiest counts; extra columns are ignored (score() hands them on); an empty table gives an empty result; without labels of
 both kinds every score is the share of label 1, or 0 without labels.
 """
 
@@ -32,15 +33,14 @@ from inkwell.llm import labelled
 from inkwell.llm.batches import held_out, slices, texts
 
 THRESHOLD = 0.5
-#: Terms at most, by weight of evidence; what is kept of the lexicon doesn't grow with the corpus.
-TERMS = 4_000
 MIN_TOXIC = 4
 MIN_ODDS = 3.0
 STEMS = range(3, 9)
 WINDOW = 6
 CACHE = 400_000
 EDGES = "\"'“”‘’«»„‹›.,;:!?()[]{}<>*_-–—…#$%&|~`"
-WORD = re.compile(r"\S+")
+#: A short quotation: what stands in it says nothing about the document that quotes it.
+QUOTATION = re.compile(r"[\"“„«‹][^\"“„«‹”»›\n]{1,80}[\"”»›]")
 OPENING, CLOSING = frozenset("\"“„«‹‘"), frozenset("\"”“»›’")
 
 # Words of reporting speech and of direct address.
@@ -140,13 +140,16 @@ class Automaton:
 
 
 def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Whole words and stems with their log-odds, from (text, y)."""
+    """Whole words and stems with their log-odds, from (text, y).
+
+    The sample is bounded, and so is the lexicon: all terms count that MIN_TOXIC of its documents hold.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
         for b in slices(batches):
             for text, y in zip(texts(b["text"]), b["y"].to_pylist(), strict=True):
-                words = {norm(w) for w in set(text.split())}
+                words = {norm(w) for w in set(QUOTATION.sub(" ", text).split())}
                 words.discard("")
                 found = {w + "$" for w in words if len(w) >= 3}
                 found.update(w[:n] for w in words for n in STEMS if len(w) > n)
@@ -164,7 +167,7 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         return {}, {}
     counted = sample.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.25) / (totals[1] + 0.5)) - F.log((F.col("clean") + 0.25) / (totals[0] + 0.5))
-    rows = counted.where((F.col("toxic") >= MIN_TOXIC) & (odds >= MIN_ODDS)).select("term", "toxic", odds.alias("odds")).orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(TERMS).collect()
+    rows = counted.where((F.col("toxic") >= MIN_TOXIC) & (odds >= MIN_ODDS)).select("term", "toxic", odds.alias("odds")).collect()
     weights = {r["term"]: (r["odds"], r["toxic"]) for r in rows}
     words, stems = {}, {}
     for term, (weight, toxic) in sorted(weights.items(), key=lambda x: len(x[0])):
