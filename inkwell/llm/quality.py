@@ -8,8 +8,9 @@ for ridge weights. Rows kept from that fit give an isotonic curve from raw score
 The model learns from a bounded sample of labelled rows (``labelled.SAMPLE_ROWS``) that leaves out
 held-out ids; everything else is scored, whole text by whole text.
 
-Edge cases: null and empty texts are scored by their statistics, all 0; a null doc_id is kept, its
-held_out is null; repeated rows get the same score each; an empty table of documents gives an empty
+Edge cases: null and empty texts are scored by their statistics, all 0; texts of any length are read
+whole; a null doc_id is kept, its held_out is null; repeated rows get the same score each; rows of equal
+raw score share one probability; extra columns are ignored (score() and keep() hand them on); an empty table of documents gives an empty
 result; without labels of both kinds every score is the share of label 1, or 0.5 without labels.
 """
 
@@ -98,11 +99,11 @@ class Model:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: the ends of the pools by raw score, and their shares of label 1."""
-    order = np.argsort(raw, kind="stable")
+    """Pool adjacent violators: the ends of the pools by raw score, and their shares of label 1. Equal raw scores are one pool."""
+    scores, place = np.unique(raw, return_inverse=True)
     pools: list[list[float]] = []  # sum, count, first and last raw score
-    for r, v in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([v, 1, r, r])
+    for r, v, n in zip(scores.tolist(), np.bincount(place, y).tolist(), np.bincount(place).tolist(), strict=True):
+        pools.append([v, n, r, r])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, last = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], last]
