@@ -7,14 +7,16 @@ are never read, because the list of archives is committed by Spark with the task
 ``MediaArchives`` is the data source ``media_archives``. It plans byte ranges over the archives of a
 folder; a range owns the members whose local header starts in it. A reader opens the archive's
 directory, streams its members in Arrow batches of bounded size, and reads each member by offset on
-its own: if that fails (or the checksum is wrong) only this member is read again, on a new handle.
+its own: if that fails (or the checksum is wrong) only this member is read again, on a new handle and
+after a pause that doubles from PAUSE.
 A member that keeps failing ends the task, as results have to be whole; with ``on_error=null`` it
 gives a null payload and the message instead.
 
 Folders are reached through Arrow's file systems (file, hdfs, s3, gs), not through local paths.
 
-Edge cases: null or empty text is one row of padding; a null doc_id is kept as null; repeated rows
-are stored once each; an empty table gives no archives and an empty result.
+Edge cases: null or empty text is one row of padding; a null doc_id is kept as null; texts of any
+length are one member each; repeated rows are stored once each, and equal texts give equal values; an
+empty table gives no archives and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -43,6 +46,8 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 RETRIES = 4
+#: Seconds before the first further try.
+PAUSE = 0.05
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -175,6 +180,7 @@ class _Reader(DataSourceReader):
     def _member(self, fs, path: str, info: zipfile.ZipInfo) -> bytes:
         """One member by its offset, on a handle of its own for each try."""
         for left in reversed(range(self.retries)):
+            time.sleep(PAUSE * 2 ** (self.retries - 1 - left))
             try:
                 with fs.open_input_file(path) as f:
                     return self._at(f, info)

@@ -11,7 +11,9 @@ independently and, all told, a class has at most one bin that isn't full. The pi
 bins (fewer than 5,000 in all, whatever the input) are packed first-fit by falling length.
 
 Edge cases: null or empty text is one piece that holds the closing id; a null doc_id is kept as
-null; repeated rows are packed once each; an empty table gives an empty result.
+null; texts of any length are tokenised whole; of pieces of equal length the one numbered first goes
+first; repeated rows are packed once each; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
