@@ -22,10 +22,18 @@ MODULES = {
 }
 
 
+def _query(module: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose module is imported when it runs, so that what one of them needs doesn't stop the others."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return import_module(f"inkwell.llm.{module}").query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"inkwell.llm.{module}").query for name, module in MODULES.items()}
+    return {name: _query(module) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"inkwell.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return dict(import_module("inkwell.llm.oracles").ORACLE_SQL)
