@@ -31,7 +31,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that look live masked."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, repository=secrets.repository(), owner="source")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
