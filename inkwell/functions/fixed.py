@@ -9,15 +9,20 @@ SLASH_PAIR = r"(?:(?:\+91|91|0)[\s.-]?)?[6-9]\d{4}[\s.-]?\d{5}\s*/\s*(\d{5})(?!\
 PIN = r"(?<!\d)[1-9][0-9]{2}[\s-]?[0-9]{3}(?!\d)"
 URL = r"(?i)(?:https?://|www\.)[a-zA-Z0-9.-]+(?:\.[a-zA-Z]{2,})+(?:/[^\s,;)\]]*)?"
 TLDS = (
-    "com in co\\.in org net io ai biz info tech online store co edu gov app dev me us uk ca au sg ae de fr jp cn global studio agency solutions "
-    "cloud digital services group institute foundation ventures media news health care finance consulting design build works systems software "
-    "int mobi name pro travel jobs museum coop aero mil gov\\.in ac\\.in nic\\.in res\\.in edu\\.in gov\\.uk co\\.uk org\\.uk"
-).split()
+    "com", "in", r"co\.in", "org", "net", "io", "ai", "biz", "info", "tech", "online", "store", "co", "edu", "gov", "app", "dev", "me",
+    "us", "uk", "ca", "au", "sg", "ae", "de", "fr", "jp", "cn", "global", "studio", "agency", "solutions", "cloud", "digital", "services",
+    "group", "institute", "foundation", "ventures", "media", "news", "health", "care", "finance", "consulting", "design", "build", "works",
+    "systems", "software", "int", "mobi", "name", "pro", "travel", "jobs", "museum", "coop", "aero", "mil", r"gov\.in", r"ac\.in",
+    r"nic\.in", r"res\.in", r"edu\.in", r"gov\.uk", r"co\.uk", r"org\.uk",
+)
 DOMAIN = r"(?i)\b[a-zA-Z0-9][a-zA-Z0-9.-]*\.(?:" + "|".join(TLDS) + r")(?:/[^\s,;)\]]*)?\b"
 SPACED_EMAIL = r"(?i)(?:[a-zA-Z0-9][\s]{1,2}){2,}@(?:[a-zA-Z0-9][\s]{0,2}){2,}\.[a-zA-Z]{2,}"
 
 #: Repairs of recognised text, before and after spaced-out addresses are closed up.
 AT_SIGNS = (r"([a-zA-Z0-9._%+\-])(?:©|®|\(c\)|\(C\))([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", "$1@$2")
+#: What an @ is, or is taken for; the second as a pattern, before a domain.
+SIGNS = ("@", "©", "®", "(c)", "(C)")
+SIGN_LIKE = r"(?i)(?:fd|cl|\(a\)|\[a\])[a-zA-Z0-9.-]+\.(?:com|in|co\.in|org|net|io|ai|xyz|gov|edu)\b"
 REPAIRS = (
     (r"(?i)@(gmai[1l]|gma1l|gmaii|gmall)\.com", "@gmail.com"),
     (r"(?i)@(hotmai[1l]|hotma1l)\.com", "@hotmail.com"),
@@ -83,10 +88,11 @@ MONEY = r"[:\s]*[$₹€£]?\s*([0-9]{1,3}(?:,[0-9]{2,3})*(?:\.[0-9]{1,2})?)"
 SUBTOTAL = r"(?i)(?:sub\s*total|taxable\s*value|taxable\s*amount|subtotal|estimated\s*cost|total\s*estimated\s*cost)" + MONEY
 AMOUNT_DUE = r"(?i)(?:amount\s*due|total\s*amount|total\s*due|net\s*amount|grand\s*total|balance\s*due|total\s*payable|total\s*charges|balance|totals?|amount\s*owed|total\s*owed|patient\s*responsibility|you\s*owe)" + MONEY
 
-#: First characters of the digit blocks of Indic scripts; each block runs from 0 to 9.
+#: First characters of the scripts' digit blocks; each block runs from 0 to 9.
 INDIC_ZEROS = {
     "devanagari": 0x0966, "bengali": 0x09E6, "gurmukhi": 0x0A66, "gujarati": 0x0AE6, "oriya": 0x0B66, "tamil": 0x0BE6, "telugu": 0x0C66,
-    "kannada": 0x0CE6, "malayalam": 0x0D66,
+    "kannada": 0x0CE6, "malayalam": 0x0D66, "thai": 0x0E50, "lao": 0x0ED0, "myanmar": 0x1040, "khmer": 0x17E0, "shan": 0x1090,
+    "saurashtra": 0xA8D0, "kayah": 0xA900, "ol chiki": 0x1C50, "limbu": 0x1946, "new tai lue": 0x19D0,
 }
 
 #: Stages of an extraction job, in order, with the progress that each reports.

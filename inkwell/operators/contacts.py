@@ -15,7 +15,12 @@ def _texts() -> Column:
 
 
 def emails(text: Column) -> Column:
-    return bind(clean_ocr(F.coalesce(text, F.lit(""))), lambda t: F.array_distinct(F.transform(matches(t, fixed.EMAIL), lambda m: F.lower(F.trim(m)))))
+    """Texts without an @, and without what the repairs make one of, are told by a cheap test."""
+    signs = F.lit(False)
+    for sign in fixed.SIGNS:
+        signs = signs | F.contains(text, F.lit(sign))
+    found = bind(clean_ocr(F.coalesce(text, F.lit(""))), lambda t: F.array_distinct(F.transform(matches(t, fixed.EMAIL), lambda m: F.lower(F.trim(m)))))
+    return F.when(F.coalesce(signs | text.rlike(fixed.SIGN_LIKE), F.lit(False)), found).otherwise(_texts())
 
 
 def websites(text: Column) -> Column:

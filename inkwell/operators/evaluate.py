@@ -1,4 +1,4 @@
-"""Extraction quality: one pass over gold rows and predictions."""
+"""Extraction quality: one pass over gold rows and predictions."""
 
 from __future__ import annotations
 
@@ -77,3 +77,43 @@ def report(gold: DataFrame, predictions: DataFrame, by: str | None = None, sets:
         sums += [F.coalesce(tp / F.nullif(given, F.lit(0)), F.lit(0.0)).alias(f"{c}_precision"), F.coalesce(tp / F.nullif(held, F.lit(0)), F.lit(0.0)).alias(f"{c}_recall"), F.coalesce(2 * tp / F.nullif(given + held, F.lit(0)), F.lit(0.0)).alias(f"{c}_f1")]
     sums.append(F.avg(F.when(valid, character_error(F.coalesce("address", F.lit("")), F.coalesce("_address", F.lit(""))))).alias("address_cer"))
     return rows.rollup(by).agg(*sums) if by else rows.agg(*sums)
+
+
+#: Fields of a prediction and how a text shows that it could hold them.
+EVIDENCE_OF = {"company": "text", "tagline": "text", "pincode": "digits", "gstin": "ascii"}
+EVIDENCE_OF_EACH = {"services": "text", "phones": "digits", "emails": "ascii", "websites": "ascii", "address_lines": "text"}
+
+
+def hallucinations(rows: DataFrame, text: str = "text", prediction: str = "prediction") -> DataFrame:
+    """Rows with ``unsupported`` (an array of kind=value) and ``populated``: values of a prediction that its text doesn't show, and all of them."""
+    held = F.col(prediction)
+    single = [F.when(F.coalesce(held[k], F.lit("")) != "", F.struct(F.lit(k).alias("field"), held[k].alias("value"), F.lit(kind).alias("kind"))) for k, kind in EVIDENCE_OF.items()]
+    kind = "array<struct<field:string,value:string,kind:string>>"
+    none = F.array().cast(kind)
+
+    def values_of(field: str, how: str) -> Column:
+        return F.coalesce(F.transform(held[field], lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"), F.lit(how).alias("kind"))), none).cast(kind)
+
+    each = [values_of(field, how) for field, how in EVIDENCE_OF_EACH.items()]
+    people = F.transform(F.filter(held["persons"], lambda p: F.coalesce(p["name"], F.lit("")) != ""), lambda p: F.struct(F.lit("person").alias("field"), p["name"].alias("value"), F.lit("text").alias("kind")))
+    values = F.concat(F.filter(F.array(*single).cast(kind), lambda x: x.isNotNull()), *each, F.coalesce(people, none).cast(kind))
+
+    def shown(x: Column, t: Column) -> Column:
+        v = F.coalesce(x["value"], F.lit(""))
+        by_kind = F.when(x["kind"] == "digits", has_evidence(v, t, "digits")).when(x["kind"] == "ascii", has_evidence(v, t, "ascii")).otherwise(has_evidence(v, t, "text"))
+        return (v == "") | by_kind
+
+    out = rows.withColumn("_values", values)
+    unsupported = bind(F.coalesce(F.col(text), F.lit("")), lambda t: F.transform(F.filter("_values", lambda x: ~shown(x, t)), lambda x: F.concat_ws("=", x["field"], x["value"])))
+    return out.withColumns({"populated": F.size("_values"), "unsupported": unsupported}).drop("_values")
+
+
+def hallucination_rate(rows: DataFrame, **names: str) -> DataFrame:
+    """One row: unsupported values over populated ones, 0 without any."""
+    found = hallucinations(rows, **names).agg(F.sum(F.size("unsupported")).alias("u"), F.sum("populated").alias("n"))
+    return found.select(F.coalesce(F.col("u") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("hallucination_rate"), F.coalesce("u", F.lit(0)).alias("unsupported"), F.coalesce("n", F.lit(0)).alias("populated"))
+
+
+def first_failing(rows: DataFrame, failed: Column, order: str, k: int = 5) -> DataFrame:
+    """The first k rows that failed, by an order; a report of k rows."""
+    return rows.where(failed).orderBy(order).limit(k)

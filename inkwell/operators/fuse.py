@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions import fixed
 from inkwell.functions.text import devanagari_count
+from inkwell.operators.contacts import phones
+from inkwell.operators.lines import is_garbled, is_status_bar
 
 BLOCK = "struct<text:string,left:int,top:int,right:int,bottom:int>"
 OVERLAP = 0.3
@@ -44,17 +46,18 @@ def fused_blocks(latin: Column, deva: Column) -> Column:
 
 
 def fused_text(latin: Column, deva: Column) -> Column:
-    """The lines with Devanagari, then the Latin lines that aren't noise or there already."""
+    """All lines of the Devanagari pass, then the Latin ones that aren't noise, say something Latin can, and aren't there already."""
 
     def lines(c: Column) -> Column:
         return F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
 
-    own = F.array_distinct(F.filter(lines(deva), lambda x: devanagari_count(x) > 0))
-    status = r"(?i)\d{1,2}:\d{2}.*\bKB/s|\bVoLTE\b|\b[45]G\b"
-    contact = r"(?i)@|www\.|http|\b[0-9]{2}[a-z]{5}[0-9]{4}[a-z][1-9a-z]z[0-9a-z]\b|\d(?:[^\d\n]{0,3}\d){7}"
-    good = F.filter(lines(latin), lambda x: ~x.rlike(status) & (x.rlike(contact) | F.forall(F.split(x, r"\s+"), lambda w: (F.length(w) > 1) & w.rlike(r"^[\p{L}.]+$"))))
-    both = F.array_join(F.array_union(own, F.array_except(good, own)), "\n")
-    return F.when(F.trim(latin) == "", deva).when(F.trim(deva) == "", latin).otherwise(both)
+    def says(x: Column) -> Column:
+        worded = F.forall(F.split(x, r"\s+"), lambda w: (F.length(w) > 1) & w.rlike(r"^[\p{L}.]+$"))
+        return F.contains(x, F.lit("@")) | x.rlike("(?i)www\\.|http") | x.rlike(fixed.GSTIN) | (F.size(phones(x)) > 0) | worded
+
+    own = lines(deva)
+    good = F.filter(lines(latin), lambda x: ~is_status_bar(x) & ~is_garbled(x) & says(x))
+    return F.when(F.trim(latin) == "", deva).when(F.trim(deva) == "", latin).otherwise(F.array_join(F.array_union(own, good), "\n"))
 
 
 def fuse_pages(pages: DataFrame) -> DataFrame:

@@ -124,21 +124,40 @@ def columns_of(lines: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: acc["of"])
 
 
-def company_line(lines: Column) -> Column:
-    """A1: the line that scores most as a company's name; of equal scores the first.
+#: What marks a person rather than a firm, at the start of a block or anywhere in it.
+PERSON_STARTS = ("dr.", "adv.")
+PERSON_WORDS = ("m.d.", "mbbs", "consulting physician", "legal consultant")
+
+
+def company_score(text: Column, height: Column, lines: Column, top: Column, card_top: Column, card_bottom: Column) -> Column:
+    """A1: how much a block looks like a company's name.
 
-    Three times the height, 20 for the top 40 % of the card and -10 for the bottom 20 %, 25 for a
-    company's word, 8 for capitals or 4 for title case of two words or more, -150 after a salutation.
+    Three times its mean height of a line, 20 above 40 % of the card and -10 below 80 %, 25 for a
+    company's word, 8 for two words or more in capitals or 4 if at least half of them begin with one,
+    -150 for a salutation, or the title or calling of a person.
     """
+
+    def of(t: Column) -> Column:
+        lower = F.lower(t)
+        person = salutation(t).isNotNull() | F.exists(words(PERSON_STARTS), lambda w: F.startswith(lower, w)) | _any(lower, PERSON_WORDS)
+        place = (top - card_top) / F.greatest(card_bottom - card_top, F.lit(1))
+        own = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+        capital = F.size(F.filter(own, lambda w: w.rlike(r"^\p{Lu}"))) >= F.floor(F.size(own) / 2)
+        case = F.when(F.size(own) < 2, 0).when(~t.rlike(r"[\p{L}&&[^\p{Lu}]]"), 8).when(capital, 4).otherwise(0)
+        mean = F.floor(height / F.greatest(lines, F.lit(1))).cast("int")
+        return F.when(person, -150).otherwise(0) + 3 * mean + F.when(place < 0.40, 20).when(place > 0.80, -10).otherwise(0) + F.when(has_company_word(t), 25).otherwise(0) + case
+
+    return bind(F.trim(text), of)
+
+
+def company_line(lines: Column) -> Column:
+    """A1 for single lines: the one that scores most; of equal scores the first."""
     top = F.array_min(F.transform(lines, lambda x: x["top"]))
     bottom = F.array_max(F.transform(lines, lambda x: x["bottom"]))
 
     def scored(x: Column, i: Column) -> Column:
-        t = F.trim(x["text"])
-        place = (x["top"] - top) / F.greatest(bottom - top, F.lit(1))
-        case = F.when(t.rlike(r"\p{L}") & (F.upper(t) == t), 8).when(t.rlike(r"^\p{Lu}\S*(?:\s+\p{Lu}\S*)+$"), 4).otherwise(0)
-        score = 3 * F.greatest(x["bottom"] - x["top"], F.lit(0)) + F.when(place <= 0.4, 20).when(place >= 0.8, -10).otherwise(0) + F.when(has_company_word(t), 25).otherwise(0) + case - F.when(salutation(t).isNotNull(), 150).otherwise(0)
-        return F.struct(score.alias("score"), (-i).alias("at"), t.alias("text"))
+        score = company_score(x["text"], F.greatest(x["bottom"] - x["top"], F.lit(0)), F.lit(1), x["top"], top, bottom)
+        return F.struct(score.alias("score"), (-i).alias("at"), F.trim(x["text"]).alias("text"))
 
     contact = r"(?i)@|www\.|https?:|\d(?:[^\d\n]{0,3}\d){6}"
     able = F.filter(lines, lambda x: (F.trim(x["text"]) != "") & (~x["text"].rlike(contact) | has_company_word(x["text"])) & ~is_invocation(x["text"]))

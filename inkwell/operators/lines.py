@@ -16,11 +16,12 @@ AUDIENCE = r"(?i)^\s*(?:(?:only\s+)?(?:ladies|women|gents|men|kids|boys|girls|ch
 CONTACT = r"(?i)@|www\.|https?:|\b[6-9]\d{9}\b|\b0\d{2,4}[\s-]\d{6,8}\b|\b(?:mob|tel|phone|fax|email)\b"
 FRAGMENT = r"(?i)\.com|\.in|\.org|\.net|@|www\.|http|^(?:e-?mail|mail)|gmail|gnal|yahoo|outlook|fnol"
 STATUS_BAR = r"(?i)\d{1,2}:\d{2}.*(?:KB/s|MB/s|\d+%)|\d+\s*(?:KB|MB)/s|\b(?:VoLTE|4G|5G|LTE)\b|KB/s"
-GOODS = tuple(
-    "box,boxes,mcb,fan box,junction box,modular box,concealed box,spares,parts,fittings,pipes,valves,cables,wires,switches,switchgears,hardware,tools,motors,pumps,appliances,equipment,accessories,goods,items,stationery,garments,textiles,fabrics,सोफासेट,सोफा,कपाट,टेबल,फ्रिज,कुलर,भांडी,वस्तु,सामग्री,होलसेल,ऑईल चेंज,टायर".split(
-        ","
-    )
-)
+GOODS = (
+    "box", "boxes", "mcb", "fan box", "junction box", "modular box", "concealed box", "spares", "parts", "fittings", "pipes", "valves",
+    "cables", "wires", "switches", "switchgears", "hardware", "tools", "motors", "pumps", "appliances", "equipment", "accessories",
+    "goods", "items", "stationery", "garments", "textiles", "fabrics", "सोफासेट", "सोफा", "कपाट", "टेबल", "फ्रिज", "कुलर", "भांडी",
+    "वस्तु", "सामग्री", "होलसेल", "ऑईल चेंज", "टायर",
+)
 SCRIPTED = r"[ऀ-ॿa-zA-Z0-9؀-ۿЀ-ӿ一-鿿஀-௿ఀ-౿]"
 LEADS = r"^(?:dealing in|dealers of|dealers in|all types of|all kinds of|manufacturers of|mfg\. of|services:|products:|आमच्याकडे|येथे)|मिळतील|मिळेल"
 ENDS = r"(?:etc\.?|and more|इत्यादी|आदी)$"

@@ -12,23 +12,26 @@ from inkwell.functions.text import similarity, skeleton
 
 # Script families and the languages that each serves; anything else is devanagari.
 SCRIPTS = {
-    "devanagari": "mr marathi hi hindi ne nepali sa sanskrit kok konkani bho bhojpuri devanagari",
-    "latin": "en english es spanish fr french de german it italian pt portuguese nl dutch id indonesian ms malay tr turkish vi vietnamese pl polish sv swedish latin",
-    "ch": "zh cn chinese ja japanese japan ch",
-    "korean": "ko korean",
-    "arabic": "ar arabic fa persian ur urdu",
-    "cyrillic": "ru russian uk ukrainian be belarusian bg bulgarian sr serbian cyrillic eslav",
-    "tamil": "ta tamil",
-    "telugu": "te telugu",
-    "thai": "th thai",
-    "greek": "el greek",
-}
+    "devanagari": ("mr", "marathi", "hi", "hindi", "ne", "nepali", "sa", "sanskrit", "kok", "konkani", "bho", "bhojpuri", "devanagari"),
+    "latin": ("en", "english", "es", "spanish", "fr", "french", "de", "german", "it", "italian", "pt", "portuguese", "nl", "dutch", "id", "indonesian", "ms", "malay", "tr", "turkish", "vi", "vietnamese", "pl", "polish", "sv", "swedish", "latin"),
+    "ch": ("zh", "cn", "chinese", "ja", "japanese", "japan", "ch"),
+    "korean": ("ko", "korean"),
+    "arabic": ("ar", "arabic", "fa", "persian", "ur", "urdu"),
+    "cyrillic": ("ru", "russian", "uk", "ukrainian", "be", "belarusian", "bg", "bulgarian", "sr", "serbian", "cyrillic", "eslav"),
+    "tamil": ("ta", "tamil"),
+    "telugu": ("te", "telugu"),
+    "thai": ("th", "thai"),
+    "greek": ("el", "greek"),
+}
 # Cities, in the order that a scan tries them.
-CITIES = tuple(
-    "Mumbai,Delhi,Bangalore,Bengaluru,Hyderabad,Ahmedabad,Chennai,Kolkata,Surat,Pune,Jaipur,Lucknow,Kanpur,Nagpur,Indore,Thane,Bhopal,Visakhapatnam,Pimpri-Chinchwad,Patna,Vadodara,Ghaziabad,Ludhiana,Agra,Nashik,Faridabad,Meerut,Rajkot,Varanasi,Srinagar,Aurangabad,Dhanbad,Amritsar,Navi Mumbai,Allahabad,Prayagraj,Howrah,Ranchi,Gwalior,Jabalpur,Coimbatore,Vijayawada,Jodhpur,Madurai,Raipur,Kota,Guwahati,Chandigarh,Solapur,Hubli,Dharwad,Bareilly,Mysore,Tiruchirappalli,Gurgaon,Gurugram,Noida,Dehradun,Jalandhar,Udaipur,Jammu,Mangalore".split(
-        ","
-    )
-)
+CITIES = (
+    "Mumbai", "Delhi", "Bangalore", "Bengaluru", "Hyderabad", "Ahmedabad", "Chennai", "Kolkata", "Surat", "Pune", "Jaipur", "Lucknow",
+    "Kanpur", "Nagpur", "Indore", "Thane", "Bhopal", "Visakhapatnam", "Pimpri-Chinchwad", "Patna", "Vadodara", "Ghaziabad", "Ludhiana",
+    "Agra", "Nashik", "Faridabad", "Meerut", "Rajkot", "Varanasi", "Srinagar", "Aurangabad", "Dhanbad", "Amritsar", "Navi Mumbai",
+    "Allahabad", "Prayagraj", "Howrah", "Ranchi", "Gwalior", "Jabalpur", "Coimbatore", "Vijayawada", "Jodhpur", "Madurai", "Raipur",
+    "Kota", "Guwahati", "Chandigarh", "Solapur", "Hubli", "Dharwad", "Bareilly", "Mysore", "Tiruchirappalli", "Gurgaon", "Gurugram",
+    "Noida", "Dehradun", "Jalandhar", "Udaipur", "Jammu", "Mangalore",
+)
 
 # White space between tokens, and the punctuation around them.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -40,7 +43,7 @@ def script_family(language: Column) -> Column:
     clean = F.lower(F.trim(language))
     out = F.lit("devanagari")
     for script, names in SCRIPTS.items():
-        out = F.when(clean.isin(*names.split()), F.lit(script)).otherwise(out)
+        out = F.when(clean.isin(*names), F.lit(script)).otherwise(out)
     return out
 
 

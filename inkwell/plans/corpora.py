@@ -43,3 +43,33 @@ def bills(spark, sf_dir: str) -> DataFrame:
     joined = orders.join(grouped, orders["o_orderkey"] == grouped["id"])
     text = F.concat_ws("\n", F.lit("TAX INVOICE"), F.concat(F.lit("Invoice No: INV-"), F.col("id").cast("string")), F.concat(F.lit("Invoice Date: "), F.date_format("o_orderdate", "dd/MM/yyyy")), F.concat(F.lit("Due Date: "), F.date_format(F.date_add("o_orderdate", 30), "dd/MM/yyyy")), F.lit("Subtotal: $0.50"), F.concat(F.lit("Amount Due: $"), F.format_number("o_totalprice", 2)))
     return joined.select("id", text.alias("text"), F.concat(head, rows, end).alias("lines"))
+
+
+def word(key):
+    """A word of letters that a number spells: each digit is a letter."""
+    return F.initcap(F.translate(F.lpad(key.cast("string"), 5, "0"), "0123456789", "kalominuve"))
+
+
+def laid_out_cards(spark, sf_dir: str) -> DataFrame:
+    """A card for each supplier in one of four layouts, with text, and what each field should be.
+
+    0: company, person, role, slogan, address, contacts. 1: the same, person with a salutation first and no role.
+    2: services in a list, role and name on one line, two lines of address. 3: no person, no slogan.
+    """
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    kind = key % 4
+    company = F.concat(word(key), F.lit(" Enterprises"))
+    person = F.concat(word(key * 7 + 11), F.lit(" "), word(key * 3 + 5))
+    pin = F.concat(F.lit("4110"), F.lpad((key % 100).cast("string"), 2, "0"))
+    place = F.concat(F.lit("Shop "), (key % 90).cast("string"), F.lit(", Tilak Road, Pune - "), pin)
+    mobile = F.concat(F.lit("98"), F.lpad((key * 7919 % 100_000_000).cast("string"), 8, "0"))
+    contact = [F.concat(F.lit("Mob: "), mobile), F.concat(F.lit("Email: info@"), F.lower(word(key)), F.lit(".in"))]
+    motto = F.lit("Quality you can see")
+    lines = (
+        F.when(kind == 0, F.array(company, person, F.lit("Managing Director"), motto, place, *contact))
+        .when(kind == 1, F.array(F.concat(F.lit("Dr. "), person), company, motto, place, *contact))
+        .when(kind == 2, F.array(company, F.concat(person, F.lit(" - Proprietor")), F.lit("Pipes, Valves, Pumps etc."), F.lit("Plot 4, Industrial Area"), place, *contact))
+        .otherwise(F.array(company, place, *contact))
+    )
+    return s.select(key.alias("id"), F.array_join(lines, "\n").alias("text"))

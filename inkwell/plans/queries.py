@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as T
-from inkwell.operators import bills, classify, contacts, evaluate, fuse, lookup, universal
+from inkwell.operators import bills, classify, contacts, evaluate, fuse, layout, lines, lookup, names, offline, pages, parse, universal
 from inkwell.plans import corpora
 from inkwell.session import table
+from inkwell.sources import records
 from inkwell.streaming import jobs
 
 
@@ -99,7 +100,7 @@ def script_families(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(lookup.script_family(F.col("lang")).alias("script")).agg(F.count("*").alias("n"))
 
 
-_CASES = " ".join(f"WHEN lower(trim(lang)) IN ({', '.join(map(_duck, names.split()))}) THEN '{script}'" for script, names in lookup.SCRIPTS.items())
+_CASES = " ".join(f"WHEN lower(trim(lang)) IN ({', '.join(map(_duck, names))}) THEN '{script}'" for script, names in lookup.SCRIPTS.items())
 SCRIPT_FAMILIES = f"SELECT CASE {_CASES} ELSE 'devanagari' END AS script, count(*) AS n FROM documents GROUP BY 1"
 
 
@@ -163,8 +164,12 @@ JOB_STAGES = "SELECT node, count(*) AS n, max(progress) AS progress FROM orders,
 
 
 def throttled_progress(spark: SparkSession, d: str) -> DataFrame:
-    times = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_millis(F.col("ts").cast("timestamp")))).alias("t"))
-    return times.select("user_id", F.size(jobs.throttled(F.col("t"), 3_600_000)).cast("bigint").alias("n"))
+    return jobs.reported(table(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))), "user_id", "ms", 3_600_000)
+
+
+THROTTLED_PROGRESS = """WITH RECURSIVE e AS (SELECT user_id, epoch_ms(CAST(ts AS TIMESTAMP)) AS t FROM events),
+r(user_id, t, k) AS (SELECT user_id, min(t), 1 FROM e GROUP BY user_id UNION ALL SELECT r.user_id, min(e.t), r.k + 1 FROM r JOIN e ON e.user_id = r.user_id AND e.t > r.t + 3600000 GROUP BY r.user_id, r.k)
+SELECT user_id, CAST(max(k) AS BIGINT) AS n FROM r GROUP BY user_id"""
 
 
 def fused_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +222,181 @@ CARD_CONFIDENCE = """WITH s AS (SELECT s_suppkey AS id, 25 + CASE WHEN s_suppkey
 CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS n FROM supplier)
 SELECT id, points / 100.0 AS confidence, points < 75 OR n >= 2 AS needs_review, CAST(n AS BIGINT) AS n_reasons FROM s"""
 
+
+def fused_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes of a page: the other one has Devanagari, a number, a code and a Latin word; this one noise, garbled lines and contacts."""
+    key = F.col("s_suppkey").cast("string")
+    deva = F.concat_ws("\n", F.lit("राजेश"), F.concat(F.lit("98220"), F.lpad(key, 5, "0")), F.concat(F.lit("B-"), key), F.lit("Shop"))
+    latin = F.concat_ws("\n", F.lit("9:41 12KB/s VoLTE"), F.lit("HL.CEO499029R, CEOY9909€ www.x"), F.concat(F.lit("B-"), key), F.concat(F.lit("shop"), key, F.lit("@mail.in")), F.lit("Shop"), F.lit("Kiran Traders"), F.lit("x 1"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), fuse.fused_text(latin, deva).alias("text"))
+
+
+FUSED_TEXTS = """SELECT s_suppkey AS id, 'राजेश' || chr(10) || '98220' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || chr(10) || 'B-' || s_suppkey || chr(10) || 'Shop' || chr(10) || 'shop' || s_suppkey || '@mail.in' || chr(10) || 'Kiran Traders' AS text FROM supplier"""
+
+
+def digit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's key in each script's digits, and back."""
+    zeros = F.array(*map(F.lit, sorted(fixed.INDIC_ZEROS.values())))
+    spelt = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.explode(zeros).alias("zero"))
+    written = F.array_join(F.transform(F.filter(F.split(F.col("id").cast("string"), ""), lambda c: c != ""), lambda c: F.decode(F.unhex(F.lpad(F.hex(F.col("zero") + c.cast("int")), 4, "0")), "UTF-16BE")), "")
+    return spelt.select("id", "zero", T.indic_digits(F.concat(F.lit("No. "), written)).alias("text"))
+
+
+DIGIT_SCRIPTS = "SELECT o_orderkey AS id, CAST(zero AS INT) AS zero, 'No. ' || o_orderkey AS text FROM orders, (SELECT unnest([2406, 2534, 2662, 2790, 2918, 3046, 3174, 3302, 3430, 3664, 3792, 4160, 4240, 6112, 6470, 6608, 7248, 43216, 43264]) AS zero)"
+
+
+def company_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A part's names as blocks of a card, at a place and a height that its key gives."""
+    key = F.col("p_partkey")
+    text = F.when(key % 5 == 0, F.concat(F.lit("Dr. "), "p_name")).when(key % 5 == 1, F.upper("p_name")).when(key % 5 == 2, F.initcap("p_name")).when(key % 5 == 3, F.concat("p_name", F.lit(" Traders"))).otherwise(F.concat(F.lit("Consulting Physician "), "p_name"))
+    scored = layout.company_score(text, (key % 40).cast("int"), F.lit(1), (key % 101).cast("int"), F.lit(0), F.lit(100))
+    return table(spark, d, "part").select(key.alias("id"), scored.cast("bigint").alias("score"))
+
+
+COMPANY_SCORES = """WITH p AS (SELECT p_partkey AS id, len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS n, regexp_matches(lower(p_name), '[a-z]') AS lettered FROM part)
+SELECT id, CAST(3 * (id % 40) + CASE WHEN id % 101 < 40 THEN 20 WHEN id % 101 > 80 THEN -10 ELSE 0 END + CASE id % 5 WHEN 0 THEN -150 WHEN 4 THEN 25 - 150 WHEN 3 THEN 25 ELSE 0 END
++ CASE id % 5 WHEN 0 THEN CASE WHEN 1 >= (n + 1) // 2 THEN 4 ELSE 0 END WHEN 1 THEN CASE WHEN n >= 2 THEN 8 ELSE 0 END WHEN 2 THEN CASE WHEN n >= 2 THEN 4 ELSE 0 END
+WHEN 3 THEN CASE WHEN 1 >= (n + 1) // 2 THEN 4 ELSE 0 END ELSE CASE WHEN 2 >= (n + 2) // 2 THEN 4 ELSE 0 END END AS BIGINT) AS score FROM p"""
+
+_VOCABULARY = ("Enterprises", "Traders", "Motors", "Pune", "Nagpur")
+_ALIASES = {"MD": "M.D.", "Pune": "PUNE"}
+
+
+def token_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases by token, and tokens snapped to a vocabulary."""
+    key = F.col("s_suppkey")
+    text = F.concat(F.element_at(F.array(*map(F.lit, ("MD,", "CMD", "(MD)", "Punekar", "Pune."))), (key % 5 + 1).cast("int")), F.lit("  "), F.element_at(F.array(*map(F.lit, ("Enterprizes", "Tradrs", "Motorcycle", "Xyz"))), (key % 4 + 1).cast("int")))
+    return table(spark, d, "supplier").select(key.alias("id"), lookup.apply_aliases(text, _ALIASES).alias("aliased"), lookup.snap_tokens(text, _VOCABULARY, _ALIASES).alias("snapped"))
+
+
+TOKEN_REPAIRS = """WITH s AS (SELECT s_suppkey AS id, ['M.D.,', 'CMD', '(M.D.)', 'Punekar', 'PUNE.'][CAST(s_suppkey % 5 AS INT) + 1] AS a, ['Enterprizes', 'Tradrs', 'Motorcycle', 'Xyz'][CAST(s_suppkey % 4 AS INT) + 1] AS b,
+['Enterprises', 'Traders', 'Motorcycle', 'Xyz'][CAST(s_suppkey % 4 AS INT) + 1] AS c FROM supplier)
+SELECT id, a || ' ' || b AS aliased, CASE a WHEN 'PUNE.' THEN 'Pune' ELSE a END || ' ' || c AS snapped FROM s"""
+
+
+def business_cards(spark: SparkSession, d: str) -> DataFrame:
+    found = parse.business_cards(corpora.laid_out_cards(spark, d).withColumn("blocks", F.lit(None).cast(f"array<{parse.BLOCK}>")))
+    people = F.array_join(F.transform("persons", lambda p: F.concat_ws(":", p["name"], p["role"])), ";")
+    return found.select("id", "company", "tagline", "slogan", F.array_join("services", ",").alias("services"), people.alias("persons"), F.array_join("addresses", ";").alias("addresses"), F.array_join("phones", ",").alias("phones"), "pincode")
+
+
+def _spelt(number: str) -> str:
+    w = f"translate(lpad(CAST({number} AS VARCHAR), 5, '0'), '0123456789', 'kalominuve')"
+    return f"(upper(substr({w}, 1, 1)) || substr({w}, 2))"
+
+
+BUSINESS_CARDS = f"""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 4 AS kind, {_spelt("s_suppkey")} AS w, {_spelt("(s_suppkey * 7 + 11)")} || ' ' || {_spelt("(s_suppkey * 3 + 5)")} AS p,
+'4110' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS pin, '98' || lpad(CAST(s_suppkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS mobile FROM supplier),
+a AS (SELECT *, 'Shop ' || id % 90 || ', Tilak Road, Pune - ' || pin AS place FROM s)
+SELECT id, w || ' Enterprises' AS company, CASE WHEN kind < 2 THEN 'Quality you can see' WHEN kind = 2 THEN p || ' - Proprietor' END AS tagline, CASE WHEN kind < 2 THEN 'Quality you can see' END AS slogan, CASE WHEN kind = 2 THEN 'Pipes,Valves,Pumps' ELSE '' END AS services,
+CASE kind WHEN 0 THEN p || ':Managing Director' WHEN 1 THEN 'Dr. ' || p WHEN 2 THEN p || ':Proprietor' ELSE '' END AS persons, CASE WHEN kind = 2 THEN 'Plot 4, Industrial Area;' ELSE '' END || place AS addresses, mobile AS phones,
+CASE WHEN strpos(mobile, pin) > 0 THEN NULL ELSE pin END AS pincode FROM a"""
+
+
+#: Lines and the kinds that each is, by hand.
+_LINES = (
+    ("MCB Box, Fan Box, Junction Box etc.", "goods,name"), ("Our Services:", "section"), ("Tilak Road, Pune", "address,place"), ("Rajesh T. Bokade", "name,title"), ("Managing Director", "role,title"), ("CEO", "role"),
+    ("Vikram Singhania (Proprietor)", "inline,name,role"), ("kiran@firm.in", "contact,fragment"), ("॥ श्री गणेशाय नमः ॥", "garbled,prayer"), ("Kiran Enterprises", "firm"), ("9:41 12KB/s VoLTE", "status"), ("HL.CEO499029R, CEOY9909€", "address,garbled"),
+)
+
+
+def line_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of known kinds, one for each customer in turn, and how many kinds of those listed each is."""
+    listed = F.array(*(F.lit(t) for t, _ in _LINES))
+    text = F.element_at(listed, (F.col("c_custkey") % len(_LINES) + 1).cast("int"))
+    kinds = {
+        "address": names.is_pure_address, "contact": names.is_native_contact, "firm": layout.has_company_word, "fragment": lines.is_address_fragment, "garbled": lines.is_garbled, "goods": lambda t: lines.is_goods_list(t, names.is_place(t)),
+        "inline": lambda t: names.inline_person(t).isNotNull(), "name": names.is_person_name, "place": names.is_place, "prayer": layout.is_invocation, "role": lambda t: names.role(t).isNotNull(), "section": lines.is_section,
+        "status": lines.is_status_bar, "title": lines.is_title_case_name,
+    }
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"))
+    return held.select("id", F.concat_ws(",", *(F.when(test(F.col("text")), F.lit(k)) for k, test in kinds.items())).alias("kinds"))
+
+
+LINE_KINDS = "SELECT c_custkey AS id, [" + ", ".join(_duck(k) for _, k in _LINES) + f"][CAST(c_custkey % {len(_LINES)} AS INT) + 1] AS kinds FROM customer"
+
+
+def offline_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Cards with a mobile number behind a 0 or in groups, a land line, and two six-digit codes of which one is by a word of place."""
+    key = F.col("s_suppkey")
+    number = F.lpad((key * 7919 % 1_000_000_000).cast("string"), 9, "0")
+    mobile = F.when(key % 2 == 0, F.concat(F.lit("09"), number)).otherwise(F.concat(F.lit("+91 9"), F.left(number, F.lit(4)), F.lit(" "), F.right(number, F.lit(5))))
+    text = F.concat_ws("\n", F.lit("Kiran  Motors"), F.concat(F.lit("Mob: "), mobile), F.lit("Tel: 0712-2233445"), F.lit("Ref 543210\n\n"), F.concat(F.lit("Plot 4, Nagar Road - 4110"), F.lpad((key % 100).cast("string"), 2, "0")), F.lit("Shop@Firm.in, www.firm.in"))
+    found = offline.with_fields(table(spark, d, "supplier").select(key.alias("id"), text.alias("text")))
+    return found.select("id", *(_csv(c).alias(c) for c in ("phones", "landlines", "emails", "websites")), "gstin", "pincode")
+
+
+OFFLINE_FIELDS = """SELECT s_suppkey AS id, '9' || lpad(CAST(s_suppkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS phones, '0712-2233445' AS landlines, 'shop@firm.in' AS emails, 'www.firm.in' AS websites, CAST(NULL AS VARCHAR) AS gstin,
+'4110' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS pincode FROM supplier"""
+
+
+def hallucination_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Every third prediction has a number, and every fifth a name, that the text doesn't hold."""
+    key = F.col("s_suppkey")
+    text = F.concat(F.lit("Kiran Motors\nMob 98220"), F.lpad(key.cast("string"), 5, "0"))
+    phone = F.when(key % 3 == 0, F.lit("7000000000")).otherwise(F.concat(F.lit("98220"), F.lpad(key.cast("string"), 5, "0")))
+    none = F.array().cast("array<string>")
+    predicted = F.struct(F.when(key % 5 == 0, F.lit("Zzyzx Qwfp")).otherwise(F.lit("Kiran Motors")).alias("company"), F.lit(None).cast("string").alias("tagline"), none.alias("services"), F.array(phone).alias("phones"), none.alias("emails"), none.alias("websites"), none.alias("address_lines"), F.array().cast("array<struct<name:string,role:string>>").alias("persons"), F.lit(None).cast("string").alias("pincode"), F.lit(None).cast("string").alias("gstin"))
+    found = evaluate.hallucination_rate(table(spark, d, "supplier").select(text.alias("text"), predicted.alias("prediction")))
+    return found.select(F.round("hallucination_rate", 6).alias("hallucination_rate"), "unsupported", "populated")
+
+
+HALLUCINATION_RATE = """SELECT round(sum(CAST(s_suppkey % 3 = 0 AS INT) + CAST(s_suppkey % 5 = 0 AS INT)) / CAST(2 * count(*) AS DOUBLE), 6) AS hallucination_rate,
+CAST(sum(CAST(s_suppkey % 3 = 0 AS INT) + CAST(s_suppkey % 5 = 0 AS INT)) AS BIGINT) AS unsupported, 2 * count(*) AS populated FROM supplier"""
+
+
+def token_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of documents in words, by language: the element at 95 in 100."""
+    held = table(spark, d, "documents").select("lang", F.size(F.split("text", " ")).alias("words"))
+    return records.ranks(held, ["lang"], "words", 0.95, "p95").select("lang", F.col("p95").cast("bigint").alias("p95"))
+
+
+TOKEN_RANKS = """WITH w AS (SELECT lang, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT lang, list(n ORDER BY n) AS v FROM w GROUP BY lang)
+SELECT lang, CAST(v[CAST(least(floor(0.95 * len(v)), len(v) - 1) AS INT) + 1] AS BIGINT) AS p95 FROM o"""
+
+
+def rendered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents of pages, with the size that each page is rendered at, made smaller by, and turned by."""
+    key = F.col("o_orderkey")
+    sizes = F.transform(F.sequence(F.lit(1), (key % 3 + 1).cast("int")), lambda i: F.struct((300 + key % 500 * i).cast("int").alias("width"), (200 + key % 700).cast("int").alias("height")))
+    held = table(spark, d, "orders").select(key.alias("id"), sizes.alias("sizes"), (key * 37 % 20_000).cast("int").alias("side"), (key % 9).cast("int").alias("turn"))
+    out = pages.pdf_pages(held)
+    return out.select("id", "page_no", "width", "height", pages.sample_size(F.col("side"), F.lit(1)).alias("smaller"), pages.rotation(F.col("turn")).alias("degrees"))
+
+
+RENDERED_PAGES = """WITH p AS (SELECT o_orderkey AS id, unnest(range(1, CAST(o_orderkey % 3 + 2 AS INT))) AS page_no FROM orders), s AS (SELECT id, page_no, 300 + id % 500 * page_no AS w, 200 + id % 700 AS h, id * 37 % 20000 AS side FROM p),
+z AS (SELECT *, greatest(2.0::DOUBLE, least(3.5::DOUBLE, 2400::DOUBLE / greatest(w, h))) AS scale FROM s)
+SELECT id, CAST(page_no AS INT) AS page_no, CAST(floor(w * scale) AS INT) AS width, CAST(floor(h * scale) AS INT) AS height, CAST(CASE WHEN side >= 16384 THEN 8 WHEN side >= 8192 THEN 4 WHEN side >= 4096 THEN 2 ELSE 1 END AS INT) AS smaller,
+CAST(CASE id % 9 WHEN 6 THEN 90 WHEN 3 THEN 180 WHEN 8 THEN 270 ELSE 0 END AS INT) AS degrees FROM z"""
+
+
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as JSON, some without boxes or lines, and the codes on them."""
+    key = F.col("c_custkey")
+    box = F.when(key % 2 == 0, F.concat(F.lit(', "boundingBox": {"left": 1, "top": '), key.cast("string"), F.lit("}"))).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"rawText": "a", "blocks": [{"text": "'), F.col("c_name"), F.lit('"'), box, F.when(key % 3 == 0, F.lit(', "lines": [{"text": "x"}, null]')).otherwise(F.lit("")), F.lit("}]}"))
+    codes = F.when(key % 4 != 0, F.array(F.struct(F.lit("e").alias("value"), F.lit("EAN_13").alias("format")), F.struct(F.concat(F.lit("q"), key.cast("string")).alias("value"), F.when(key % 4 == 1, F.lit("QR_CODE")).otherwise(F.lit("CODE_39")).alias("format"))))
+    read = table(spark, d, "customer").select(key.alias("id"), pages.read_ocr(text).alias("p"), pages.code_of(codes).alias("code"))
+    first_block = F.get("p.blocks", F.lit(0))
+    return read.select("id", first_block["text"].alias("text"), first_block["top"].alias("top"), F.size(first_block["lines"]).alias("n_lines"), "code")
+
+
+RECOGNISED_PAGES = """SELECT c_custkey AS id, c_name AS text, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS INT) AS top, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_lines,
+CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'q' || c_custkey ELSE 'e' END AS code FROM customer"""
+
+
+def job_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What is answered for a range of jobs, of which every seventh isn't known, after every third was asked to stop."""
+    key = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("processing", "completed", "needs_review", "failed"))), (key % 4 + 1).cast("int"))
+    held = table(spark, d, "orders").select(key.alias("job_id"), F.when(key % 3 == 0, jobs.cancelled(status)).otherwise(status).alias("status"))
+    return jobs.status_of(held.select("job_id"), held.where("job_id % 7 != 0"))
+
+
+JOB_ANSWERS = """WITH j AS (SELECT o_orderkey AS job_id, ['processing', 'completed', 'needs_review', 'failed'][CAST(o_orderkey % 4 AS INT) + 1] AS s FROM orders),
+k AS (SELECT job_id, CASE WHEN job_id % 7 = 0 THEN NULL WHEN job_id % 3 = 0 AND s = 'processing' THEN 'cancelled' ELSE s END AS s FROM j)
+SELECT job_id, coalesce(s, 'failed') AS status, CASE WHEN s IS NULL THEN 'JOB_NOT_FOUND' WHEN s IN ('completed', 'needs_review') THEN 'SUCCESS' WHEN s = 'failed' THEN 'SCAN_FAILED' ELSE 'PROCESSING' END AS code FROM k"""
+
 QUERIES = {
     "universal_fields": (universal_fields, UNIVERSAL_FIELDS),
     "card_addresses": (card_addresses, CARD_ADDRESSES),
@@ -234,6 +414,18 @@ QUERIES = {
     "primary_pages": (primary_pages, PRIMARY_PAGES),
     "job_status": (job_status, JOB_STATUS),
     "job_stages": (job_stages, JOB_STAGES),
-    "throttled_progress": (throttled_progress, None),
+    "throttled_progress": (throttled_progress, THROTTLED_PROGRESS),
     "fused_pages": (fused_pages, FUSED_PAGES),
+    "fused_texts": (fused_texts, FUSED_TEXTS),
+    "digit_scripts": (digit_scripts, DIGIT_SCRIPTS),
+    "company_scores": (company_scores, COMPANY_SCORES),
+    "token_repairs": (token_repairs, TOKEN_REPAIRS),
+    "business_cards": (business_cards, BUSINESS_CARDS),
+    "line_kinds": (line_kinds, LINE_KINDS),
+    "offline_fields": (offline_fields, OFFLINE_FIELDS),
+    "hallucination_rate": (hallucination_rate, HALLUCINATION_RATE),
+    "token_ranks": (token_ranks, TOKEN_RANKS),
+    "rendered_pages": (rendered_pages, RENDERED_PAGES),
+    "recognised_pages": (recognised_pages, RECOGNISED_PAGES),
+    "job_answers": (job_answers, JOB_ANSWERS),
 }

@@ -44,12 +44,24 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nearest_rank(value: Column, p: float) -> Column:
-    """The element at min(floor(p * n), n - 1) of the sorted values of a group, without interpolation."""
-    # Groups are held-out files of records, so their values fit in a row; percentile_disc is one rank off at whole p * n.
+    """A20 as an aggregate, for groups whose values fit in a row; ranks() is for any."""
+    # percentile_disc is one rank off at whole p * n.
     ordered = F.sort_array(F.collect_list(value))
     return F.get(ordered, F.least(F.floor(p * F.size(ordered)), F.size(ordered) - 1).cast("int"))
 
 
+def ranks(rows: DataFrame, by: list[str], value: str, p: float, name: str = "value") -> DataFrame:
+    """By group, the element at min(floor(p * n), n - 1) of the sorted values, without interpolation.
+
+    Values are counted first, so a group's window is over its different values. Null values don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))
+    total = F.sum("_n").over(Window.partitionBy(*by))
+    ranked = counts.select(*by, "_v", upto.alias("_upto"), total.alias("_all"))
+    return ranked.where(F.col("_upto") > F.least(F.floor(p * F.col("_all")), F.col("_all") - 1)).groupBy(*by).agg(F.min("_v").alias(name))
+
+
 def keep_rates(rows: DataFrame, by: str, flags: dict[str, Column]) -> DataFrame:
     """The share of rows that each flag holds for, by a column."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c.cast("double")).alias(name) for name, c in flags.items()))
