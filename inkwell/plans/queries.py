@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as T
-from inkwell.operators import bills, classify, contacts, evaluate, fuse, layout, lines, lookup, names, offline, pages, parse, universal
+from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, universal
 from inkwell.plans import corpora
 from inkwell.session import table
 from inkwell.sources import records
@@ -397,6 +397,83 @@ JOB_ANSWERS = """WITH j AS (SELECT o_orderkey AS job_id, ['processing', 'complet
 k AS (SELECT job_id, CASE WHEN job_id % 7 = 0 THEN NULL WHEN job_id % 3 = 0 AND s = 'processing' THEN 'cancelled' ELSE s END AS s FROM j)
 SELECT job_id, coalesce(s, 'failed') AS status, CASE WHEN s IS NULL THEN 'JOB_NOT_FOUND' WHEN s IN ('completed', 'needs_review') THEN 'SUCCESS' WHEN s = 'failed' THEN 'SCAN_FAILED' ELSE 'PROCESSING' END AS code FROM k"""
 
+def firm_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """What contacts call a firm, the line that fits, and the firm that a handle spells."""
+    key = F.col("s_suppkey")
+    w = F.lower(corpora.word(key))
+    mail = F.when(key % 3 == 0, F.concat(F.lit("info@"), w, F.lit(".in"))).when(key % 3 == 1, F.concat(w, F.lit("sports7@gmail.com"))).otherwise(F.lit("sales@yahoo.com"))
+    site = F.when(key % 2 == 0, F.concat(F.lit("https://www."), w, F.lit("-shop.in/x"))).otherwise(F.lit("www.ab.in"))
+    lines = F.array(F.lit("Mob 1"), F.lit("Other Works"), F.concat(corpora.word(key), F.lit(" & Sons")))
+    found = healing.slugs(F.array(mail), F.array(site))
+    return table(spark, d, "supplier").select(key.alias("id"), _csv(found).alias("slugs"), healing.domain_line(lines, found).alias("line"), healing.brand_of_handle(F.array(mail), ("SPORTS", "MOTORS")).alias("brand"))
+
+
+FIRM_SLUGS = f"""WITH s AS (SELECT s_suppkey AS id, lower({_spelt("s_suppkey")}) AS w, {_spelt("s_suppkey")} AS t FROM supplier)
+SELECT id, concat_ws(',', CASE id % 3 WHEN 0 THEN w WHEN 1 THEN w || 'sports' END, CASE WHEN id % 2 = 0 THEN w || 'shop' END) AS slugs, CASE WHEN id % 3 < 2 OR id % 2 = 0 THEN t || ' & Sons' END AS line,
+CASE WHEN id % 3 = 1 THEN upper(w) || ' SPORTS' END AS brand FROM s"""
+
+
+def healed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Misread addresses, words and contacts put right; addresses that others hold left out."""
+    key = F.col("s_suppkey").cast("string")
+    address = F.concat(F.lit(", shop lo "), key, F.lit(" Bg Rosd,  Hagpur 440012 -"))
+    lines = F.array(F.concat(F.lit("mail A"), key, F.lit("@gmai1.com")), F.concat(F.lit("WWW. Firm"), key, F.lit(".in")), F.concat(F.lit("+91 98220-"), F.lpad(key, 5, "0")))
+    none = F.array().cast("array<string>")
+    held = healing.without_contained(F.array(address, F.upper(address), F.concat(F.lit("Plot "), key)))
+    return table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), healing.healed_address(address).alias("address"), healing.healed_text(F.concat(F.lit("टेडर्स हायोक "), key)).alias("text"), _csv(healing.healed_emails(none, lines)).alias("emails"),
+        _csv(healing.healed_sites(none, lines)).alias("sites"), _csv(healing.healed_phones(none, lines)).alias("phones"), F.size(held).alias("n_addresses"), healing.title_cased(F.lit("DOOR LOCKS")).alias("part"),
+    )
+
+
+HEALED_LINES = """SELECT s_suppkey AS id, 'Shop No. ' || s_suppkey || ' Bag Road, Nagpur - 440012' AS address, 'ट्रेडर्स चौक ' || s_suppkey AS text, 'a' || s_suppkey || '@gmail.com' AS emails, 'www.firm' || s_suppkey || '.in' AS sites,
+'98220' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS phones, CAST(2 AS INT) AS n_addresses, 'Door Locks' AS part FROM supplier"""
+
+
+def stacked_phones(spark: SparkSession, d: str) -> DataFrame:
+    """Names with as many lines of numbers below them as a key says."""
+    key = F.col("c_custkey")
+    number = F.concat(F.lit("98"), F.lpad(key.cast("string"), 8, "0"))
+    lines = F.concat(F.array(F.lit("9822000000"), F.lit("Kiran")), F.array_repeat(F.concat(F.lit("+91 "), number), (key % 3).cast("int")), F.array(F.lit("Asha"), F.concat_ws(" ", F.left(number, F.lit(5)), F.right(number, F.lit(5)))))
+    stacked = table(spark, d, "customer").select(key.alias("id"), F.posexplode(healing.stacked_phones(lines)).alias("at", "x"))
+    return stacked.select("id", "at", "x.text", _csv(F.col("x.phones")).alias("phones"))
+
+
+STACKED_PHONES = """WITH c AS (SELECT c_custkey AS id, '98' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS n FROM customer)
+SELECT id, CAST(0 AS INT) AS at, 'Kiran' AS text, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN n ELSE n || ',' || n END AS phones FROM c UNION ALL SELECT id, CAST(1 AS INT), 'Asha', n FROM c"""
+
+
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers in fences, cut off, with objects for texts, or none, from a stand-in for a model."""
+
+    def infer(text: str, grammar: str | None) -> str:
+        number = int(text.split("No. ")[1].split("<")[0])
+        whole = '{"companyName": "Firm %d", "emails": [{"value": "a@b.in"}], "contactPersons": ["Asha Rao"],' % number
+        if number % 4 == 3:
+            raise ValueError("no answer")
+        return ("```json\n" + whole + "}\n```", "So: " + whole + ' "websites": ["www.b.in', "sorry")[number % 4]
+
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), model.prompt("Read cards.", F.concat(F.lit("No. "), F.col("s_suppkey").cast("string"))).alias("prompt"))
+    card = model.with_answers(asked, infer).select("id", "card.*")
+    return card.select("id", F.coalesce("companyName", F.lit("by rules")).alias("company"), _csv(F.col("emails")).alias("emails"), _csv(F.col("websites")).alias("websites"), F.get("contactPersons", F.lit(0))["name"].alias("person"))
+
+
+MODEL_ANSWERS = """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 < 2 THEN 'Firm ' || s_suppkey ELSE 'by rules' END AS company, CASE WHEN s_suppkey % 4 < 2 THEN 'a@b.in' END AS emails,
+CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'www.b.in' END AS websites, CASE WHEN s_suppkey % 4 < 2 THEN 'Asha Rao' END AS person FROM supplier"""
+
+
+def fallback_bills(spark: SparkSession, d: str) -> DataFrame:
+    """Bills without what a first pass finds, but for every other one's number."""
+    key = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("TAX INVOICE", "Your Health Plan", "BILL", "memo"))), (key % 4 + 1).cast("int"))
+    text = F.concat_ws("\n", kind, F.concat(F.lit("Ink House "), key.cast("string")), F.concat(F.lit("Claim #: C-"), key.cast("string")), F.lit("Print Date: May 3, 2024"), F.lit("Total Due: $1,234.50"), F.lit("Provider Charges 900"))
+    fields = bills.fallback_fields(text, {"invoice_number": F.when(key % 2 == 0, F.lit("known"))})
+    return table(spark, d, "orders").select(key.alias("id"), *(v.alias(k) for k, v in fields.items()))
+
+
+FALLBACK_BILLS = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'TAX INVOICE' ELSE 'HEALTH INSURANCE CLAIM' END AS document_type, CASE o_orderkey % 4 WHEN 1 THEN 'Your Health Plan' WHEN 3 THEN 'memo' ELSE 'Ink House ' || o_orderkey END AS issuer,
+CASE WHEN o_orderkey % 2 = 0 THEN 'known' ELSE 'C-' || o_orderkey END AS invoice_number, 'May 3, 2024' AS invoice_date, CAST(NULL AS VARCHAR) AS due_date, CAST(900 AS DOUBLE) AS subtotal, CAST(1234.5 AS DOUBLE) AS amount_due FROM orders"""
+
 QUERIES = {
     "universal_fields": (universal_fields, UNIVERSAL_FIELDS),
     "card_addresses": (card_addresses, CARD_ADDRESSES),
@@ -428,4 +505,9 @@ QUERIES = {
     "rendered_pages": (rendered_pages, RENDERED_PAGES),
     "recognised_pages": (recognised_pages, RECOGNISED_PAGES),
     "job_answers": (job_answers, JOB_ANSWERS),
+    "firm_slugs": (firm_slugs, FIRM_SLUGS),
+    "healed_lines": (healed_lines, HEALED_LINES),
+    "stacked_phones": (stacked_phones, STACKED_PHONES),
+    "model_answers": (model_answers, MODEL_ANSWERS),
+    "fallback_bills": (fallback_bills, FALLBACK_BILLS),
 }
