@@ -15,8 +15,8 @@ Such terms become spans of kind ``term`` in the documents that hold c, and sanit
 it does the entities; documents without personal data stay as they are.
 
 Counting: terms are counted by task first, over all documents, in the same way for n(t) and n(c, t).
-A term in more than 2 ** max_residual_bits times as many documents as c can't disclose c, so only
-pairs below that are counted, and a document's terms are dealt in ``PARTS`` parts before they meet its
+A term in more than 2 ** max_residual_bits times as many documents as c, or as documents with any
+entity hold it, can't disclose c, so only pairs below that are counted, and a document's terms are dealt in ``PARTS`` parts before they meet its
 entities. A kind that a third of all rows hold is summed by task, and by text, before it is dealt.
 
 Edge cases: null or empty text has no spans; a null doc_id is kept as null; texts of any length are
@@ -201,11 +201,14 @@ def disclosing(docs: DataFrame, rows: DataFrame, min_texts: int, max_residual_bi
     by_text = held.groupBy("entity", "text_key").agg(F.count("*").alias("n"))
     known = scratch.save(by_text.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("entity", "n_c"), "pii-entities")
     used = rows.where("entities is not null").select("rid", "text_key", F.explode(F.array_distinct("terms")).alias("term"))
-    candidates = used.groupBy("term", "text_key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("term")
+    candidates = used.groupBy("term", "text_key").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("term", "n_e")
+    candidates = scratch.save(candidates, "pii-candidates")
     reach = 2.0**max_residual_bits
     total = rows.count()
     most = known.agg(F.coalesce(F.max("n_c"), F.lit(0))).collect()[0][0]
-    counts = scratch.save(document_counts(docs, scratch.save(candidates, "pii-candidates")), "pii-counts").where(F.col("n_t") <= reach * most)
+    # n(c, t) is at most n_e, the documents with any entity that hold t: that leaves few terms which can disclose anything.
+    counts = document_counts(docs, candidates.select("term")).join(candidates, "term")
+    counts = scratch.save(counts.where((F.col("n_t") <= reach * most) & (F.col("n_t") + 1 <= reach * (F.col("n_e") + 1))).select("term", "n_t"), "pii-counts")
     # What a document's terms can disclose meets them in PARTS parts.
     of_row = held.join(_small(known), "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_c")).alias("of_row"))
     of_row = of_row.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
