@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as T
-from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, universal
+from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, semantic, universal
 from inkwell.plans import corpora
 from inkwell.session import table
 from inkwell.sources import records
@@ -474,6 +474,30 @@ def fallback_bills(spark: SparkSession, d: str) -> DataFrame:
 FALLBACK_BILLS = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'TAX INVOICE' ELSE 'HEALTH INSURANCE CLAIM' END AS document_type, CASE o_orderkey % 4 WHEN 1 THEN 'Your Health Plan' WHEN 3 THEN 'memo' ELSE 'Ink House ' || o_orderkey END AS issuer,
 CASE WHEN o_orderkey % 2 = 0 THEN 'known' ELSE 'C-' || o_orderkey END AS invoice_number, 'May 3, 2024' AS invoice_date, CAST(NULL AS VARCHAR) AS due_date, CAST(900 AS DOUBLE) AS subtotal, CAST(1234.5 AS DOUBLE) AS amount_due FROM orders"""
 
+def universal_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards in four layouts: a role below a name, a number beside one, a name in capitals with numbers below, and a title; each with a firm in its own way."""
+    key = F.col("s_suppkey")
+    w, p = corpora.word(key), F.concat(corpora.word(key * 7 + 11), F.lit(" "), corpora.word(key * 3 + 5))
+    mobile = F.concat(F.lit("98"), F.lpad((key * 7919 % 100_000_000).cast("string"), 8, "0"))
+    place = F.concat(F.lit("Tilak Road, Pune - 4110"), F.lpad((key % 100).cast("string"), 2, "0"))
+    lines = (
+        F.when(key % 4 == 0, F.array(F.concat(w, F.lit(" Tools")), p, F.lit("Managing Director"), F.concat(F.lit("info@"), F.lower(w), F.lit("tools.in")), place))
+        .when(key % 4 == 1, F.array(w, F.lit("Motors"), F.concat(p, F.lit(" : "), mobile), F.lit("Our Services"), F.lit("Oil change"), F.lit("* Tyres"), place))
+        .when(key % 4 == 2, F.array(F.concat(w, F.lit(" Traders")), F.upper(p), mobile, F.lit("Pipes, VALVES, Pumps"), place))
+        .otherwise(F.array(F.concat(F.lit("Adv. "), p), F.concat(w, F.lit(" Associates")), F.lit("Trusted by many"), place))
+    )
+    found = semantic.universal_cards(table(spark, d, "supplier").select(key.alias("id"), F.array_join(lines, "\n").alias("text")))
+    people = F.array_join(F.transform("persons", lambda x: F.concat_ws(":", x["name"], x["role"], F.array_join(x["phones"], "/"))), ";")
+    return found.select("id", "company", people.alias("persons"), "tagline", _csv(F.col("services")).alias("services"), _csv(F.col("phones")).alias("phones"), F.array_join(F.transform("addresses", lambda a: a["address"]), ";").alias("addresses"), F.col("confidence.needs_review").alias("needs_review"))
+
+
+UNIVERSAL_CARDS = f"""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 4 AS kind, {_spelt("s_suppkey")} AS w, {_spelt("(s_suppkey * 7 + 11)")} || ' ' || {_spelt("(s_suppkey * 3 + 5)")} AS p,
+'98' || lpad(CAST(s_suppkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS mobile, 'Tilak Road, Pune - 4110' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS place FROM supplier)
+SELECT id, w || [' Tools', ' Motors', ' Traders', ' Associates'][CAST(kind AS INT) + 1] AS company,
+CASE kind WHEN 0 THEN p || ':Managing Director:' WHEN 1 THEN p || ':Owner:' || mobile WHEN 2 THEN upper(p) || ':Proprietor:' || mobile ELSE 'Adv. ' || p || ':Advocate:' END AS persons,
+CASE kind WHEN 1 THEN 'Our Services' WHEN 3 THEN 'Trusted by many' END AS tagline, CASE kind WHEN 1 THEN 'Oil change,Tyres' WHEN 2 THEN 'Pipes,Valves,Pumps' ELSE '' END AS services,
+CASE WHEN kind IN (1, 2) THEN mobile ELSE '' END AS phones, place AS addresses, kind IN (0, 3) AS needs_review FROM s"""
+
 QUERIES = {
     "universal_fields": (universal_fields, UNIVERSAL_FIELDS),
     "card_addresses": (card_addresses, CARD_ADDRESSES),
@@ -510,4 +534,5 @@ QUERIES = {
     "stacked_phones": (stacked_phones, STACKED_PHONES),
     "model_answers": (model_answers, MODEL_ANSWERS),
     "fallback_bills": (fallback_bills, FALLBACK_BILLS),
+    "universal_cards": (universal_cards, UNIVERSAL_CARDS),
 }
