@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept, all of it, and its decisions take effect: documents of
 low quality go, one document of each group of near-duplicates stays, documents that hold a benchmark
 item go, secrets that look live are masked in the text, and the rest is packed into sequences.
+
+Edge cases: null and empty texts are scored, linked with nothing, hold nothing, and are packed as their
+closing id; texts of any length are read whole. A row without doc_id is linked with nothing and goes on.
+Repeated rows are scored, scanned and packed once each, and one of them outlives near-dedup; of equally
+near documents the smallest id stays. Extra columns, whatever their names, are handed on by all stages
+but the last. Empty tables give an empty result; without labels no document is rejected.
 """
 
 from __future__ import annotations

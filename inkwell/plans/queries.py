@@ -10,7 +10,7 @@ from inkwell.functions import text as T
 from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, semantic, universal
 from inkwell.plans import corpora
 from inkwell.session import table
-from inkwell.sources import records
+from inkwell.sources import records, synthesis
 from inkwell.streaming import jobs
 
 
@@ -498,6 +498,26 @@ CASE kind WHEN 0 THEN p || ':Managing Director:' WHEN 1 THEN p || ':Owner:' || m
 CASE kind WHEN 1 THEN 'Our Services' WHEN 3 THEN 'Trusted by many' END AS tagline, CASE kind WHEN 1 THEN 'Oil change,Tyres' WHEN 2 THEN 'Pipes,Valves,Pumps' ELSE '' END AS services,
 CASE WHEN kind IN (1, 2) THEN mobile ELSE '' END AS phones, place AS addresses, kind IN (0, 3) AS needs_review FROM s"""
 
+#: Made cards that the two reports below are over.
+MADE_CARDS = 400
+
+
+def label_keep_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of made cards whose labels outlive the noise, by its severity."""
+    held = F.col("json")
+    flags = {"company": held["companyName"].isNotNull(), "address": F.size(held["addressLines"]) > 0, "phones": F.size(held["phoneNumbers"]) > 0, "emails": F.size(held["emails"]) > 0}
+    return records.keep_rates(synthesis.corpus(spark, MADE_CARDS), "severity", flags)
+
+
+def rules_only_quality(spark: SparkSession, d: str) -> DataFrame:
+    """What the offline rules find on made cards, against the labels that the noise left."""
+    made = synthesis.corpus(spark, MADE_CARDS)
+    none = F.lit(None).cast("string")
+    gold = made.select("id", F.col("noisy_ocr").alias("text"), "severity", F.col("json.companyName").alias("company"), F.col("json.pincode").alias("pincode"), none.alias("gstin"), F.col("json.phoneNumbers").alias("phones"), F.col("json.emails").alias("emails"), F.col("json.websites").alias("websites"), F.array_join("json.addressLines", " ").alias("address"))
+    found = offline.with_fields(gold.select("id", "text")).select("id", none.alias("company"), "pincode", "gstin", "phones", "emails", "websites", F.lit("").alias("address"))
+    return evaluate.report(gold, found, by="severity")
+
+
 QUERIES = {
     "universal_fields": (universal_fields, UNIVERSAL_FIELDS),
     "card_addresses": (card_addresses, CARD_ADDRESSES),
@@ -535,4 +555,6 @@ QUERIES = {
     "model_answers": (model_answers, MODEL_ANSWERS),
     "fallback_bills": (fallback_bills, FALLBACK_BILLS),
     "universal_cards": (universal_cards, UNIVERSAL_CARDS),
+    "label_keep_rates": (label_keep_rates, None),
+    "rules_only_quality": (rules_only_quality, None),
 }

@@ -75,3 +75,17 @@ def test_null_cards(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "~~\n--")], "id int, text string")
     for r in semantic.universal_cards(df).collect():
         assert r["company"] is None and r["persons"] == [] and r["services"] == [] and r["phones"] == []
+
+
+def test_made_cards(spark):
+    from inkwell.sources import synthesis
+
+    rows = synthesis.corpus(spark, 200).collect()
+    again = synthesis.corpus(spark, 200).repartition(7).collect()
+    assert sorted(rows, key=lambda r: r["id"]) == sorted(again, key=lambda r: r["id"])
+    clean = [r for r in rows if r["severity"] == 0.0]
+    assert clean and all(r["json"] == r["clean_truth"] for r in clean)
+    for r in rows:
+        assert all(e in r["noisy_ocr"] for e in r["json"]["emails"])
+    kept = lambda s: sum(bool(r["json"]["phoneNumbers"]) for r in rows if r["severity"] == s) / sum(r["severity"] == s for r in rows)
+    assert kept(0.0) == 1.0 > kept(0.55)
