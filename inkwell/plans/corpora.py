@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from inkwell.session import table
 
 
+def suppliers(spark, sf_dir: str) -> DataFrame:
+    """The table, dealt to all cores: it's one row group, and each of its rows becomes a card."""
+    return table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism)
+
+
 def cards(spark, sf_dir: str) -> DataFrame:
     """A card for each supplier: id, text, and the values that it was built from."""
-    s = table(spark, sf_dir, "supplier")
+    s = suppliers(spark, sf_dir)
     key = F.col("s_suppkey")
     mobile = F.concat(F.lit("9"), F.lpad((key * 7919 % 1_000_000_000).cast("string"), 9, "0"))
     land = F.concat(F.lit("2"), F.lpad((key * 104_729 % 10_000_000).cast("string"), 7, "0"))
@@ -56,7 +61,7 @@ def laid_out_cards(spark, sf_dir: str) -> DataFrame:
     0: company, person, role, slogan, address, contacts. 1: the same, person with a salutation first and no role.
     2: services in a list, role and name on one line, two lines of address. 3: no person, no slogan.
     """
-    s = table(spark, sf_dir, "supplier")
+    s = suppliers(spark, sf_dir)
     key = F.col("s_suppkey")
     kind = key % 4
     company = F.concat(word(key), F.lit(" Enterprises"))

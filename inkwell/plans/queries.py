@@ -228,21 +228,21 @@ def fused_texts(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     deva = F.concat_ws("\n", F.lit("राजेश"), F.concat(F.lit("98220"), F.lpad(key, 5, "0")), F.concat(F.lit("B-"), key), F.lit("Shop"))
     latin = F.concat_ws("\n", F.lit("9:41 12KB/s VoLTE"), F.lit("HL.CEO499029R, CEOY9909€ www.x"), F.concat(F.lit("B-"), key), F.concat(F.lit("shop"), key, F.lit("@mail.in")), F.lit("Shop"), F.lit("Kiran Traders"), F.lit("x 1"))
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), fuse.fused_text(latin, deva).alias("text"))
+    return corpora.suppliers(spark, d).select(F.col("s_suppkey").alias("id"), fuse.fused_text(latin, deva).alias("text"))
 
 
 FUSED_TEXTS = """SELECT s_suppkey AS id, 'राजेश' || chr(10) || '98220' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || chr(10) || 'B-' || s_suppkey || chr(10) || 'Shop' || chr(10) || 'shop' || s_suppkey || '@mail.in' || chr(10) || 'Kiran Traders' AS text FROM supplier"""
 
 
 def digit_scripts(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's key in each script's digits, and back."""
+    """Every customer's key in each script's digits, and back."""
     zeros = F.array(*map(F.lit, sorted(fixed.INDIC_ZEROS.values())))
-    spelt = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.explode(zeros).alias("zero"))
+    spelt = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(zeros).alias("zero"))
     written = F.array_join(F.transform(F.filter(F.split(F.col("id").cast("string"), ""), lambda c: c != ""), lambda c: F.decode(F.unhex(F.lpad(F.hex(F.col("zero") + c.cast("int")), 4, "0")), "UTF-16BE")), "")
     return spelt.select("id", "zero", T.indic_digits(F.concat(F.lit("No. "), written)).alias("text"))
 
 
-DIGIT_SCRIPTS = "SELECT o_orderkey AS id, CAST(zero AS INT) AS zero, 'No. ' || o_orderkey AS text FROM orders, (SELECT unnest([2406, 2534, 2662, 2790, 2918, 3046, 3174, 3302, 3430, 3664, 3792, 4160, 4240, 6112, 6470, 6608, 7248, 43216, 43264]) AS zero)"
+DIGIT_SCRIPTS = "SELECT c_custkey AS id, CAST(zero AS INT) AS zero, 'No. ' || c_custkey AS text FROM customer, (SELECT unnest([2406, 2534, 2662, 2790, 2918, 3046, 3174, 3302, 3430, 3664, 3792, 4160, 4240, 6112, 6470, 6608, 7248, 43216, 43264]) AS zero)"
 
 
 def company_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -266,7 +266,7 @@ def token_repairs(spark: SparkSession, d: str) -> DataFrame:
     """Aliases by token, and tokens snapped to a vocabulary."""
     key = F.col("s_suppkey")
     text = F.concat(F.element_at(F.array(*map(F.lit, ("MD,", "CMD", "(MD)", "Punekar", "Pune."))), (key % 5 + 1).cast("int")), F.lit("  "), F.element_at(F.array(*map(F.lit, ("Enterprizes", "Tradrs", "Motorcycle", "Xyz"))), (key % 4 + 1).cast("int")))
-    return table(spark, d, "supplier").select(key.alias("id"), lookup.apply_aliases(text, _ALIASES).alias("aliased"), lookup.snap_tokens(text, _VOCABULARY, _ALIASES).alias("snapped"))
+    return corpora.suppliers(spark, d).select(key.alias("id"), lookup.apply_aliases(text, _ALIASES).alias("aliased"), lookup.snap_tokens(text, _VOCABULARY, _ALIASES).alias("snapped"))
 
 
 TOKEN_REPAIRS = """WITH s AS (SELECT s_suppkey AS id, ['M.D.,', 'CMD', '(M.D.)', 'Punekar', 'PUNE.'][CAST(s_suppkey % 5 AS INT) + 1] AS a, ['Enterprizes', 'Tradrs', 'Motorcycle', 'Xyz'][CAST(s_suppkey % 4 AS INT) + 1] AS b,
@@ -322,7 +322,7 @@ def offline_fields(spark: SparkSession, d: str) -> DataFrame:
     number = F.lpad((key * 7919 % 1_000_000_000).cast("string"), 9, "0")
     mobile = F.when(key % 2 == 0, F.concat(F.lit("09"), number)).otherwise(F.concat(F.lit("+91 9"), F.left(number, F.lit(4)), F.lit(" "), F.right(number, F.lit(5))))
     text = F.concat_ws("\n", F.lit("Kiran  Motors"), F.concat(F.lit("Mob: "), mobile), F.lit("Tel: 0712-2233445"), F.lit("Ref 543210\n\n"), F.concat(F.lit("Plot 4, Nagar Road - 4110"), F.lpad((key % 100).cast("string"), 2, "0")), F.lit("Shop@Firm.in, www.firm.in"))
-    found = offline.with_fields(table(spark, d, "supplier").select(key.alias("id"), text.alias("text")))
+    found = offline.with_fields(corpora.suppliers(spark, d).select(key.alias("id"), text.alias("text")))
     return found.select("id", *(_csv(c).alias(c) for c in ("phones", "landlines", "emails", "websites")), "gstin", "pincode")
 
 
@@ -337,7 +337,7 @@ def hallucination_rate(spark: SparkSession, d: str) -> DataFrame:
     phone = F.when(key % 3 == 0, F.lit("7000000000")).otherwise(F.concat(F.lit("98220"), F.lpad(key.cast("string"), 5, "0")))
     none = F.array().cast("array<string>")
     predicted = F.struct(F.when(key % 5 == 0, F.lit("Zzyzx Qwfp")).otherwise(F.lit("Kiran Motors")).alias("company"), F.lit(None).cast("string").alias("tagline"), none.alias("services"), F.array(phone).alias("phones"), none.alias("emails"), none.alias("websites"), none.alias("address_lines"), F.array().cast("array<struct<name:string,role:string>>").alias("persons"), F.lit(None).cast("string").alias("pincode"), F.lit(None).cast("string").alias("gstin"))
-    found = evaluate.hallucination_rate(table(spark, d, "supplier").select(text.alias("text"), predicted.alias("prediction")))
+    found = evaluate.hallucination_rate(corpora.suppliers(spark, d).select(text.alias("text"), predicted.alias("prediction")))
     return found.select(F.round("hallucination_rate", 6).alias("hallucination_rate"), "unsupported", "populated")
 
 
@@ -405,7 +405,7 @@ def firm_slugs(spark: SparkSession, d: str) -> DataFrame:
     site = F.when(key % 2 == 0, F.concat(F.lit("https://www."), w, F.lit("-shop.in/x"))).otherwise(F.lit("www.ab.in"))
     lines = F.array(F.lit("Mob 1"), F.lit("Other Works"), F.concat(corpora.word(key), F.lit(" & Sons")))
     found = healing.slugs(F.array(mail), F.array(site))
-    return table(spark, d, "supplier").select(key.alias("id"), _csv(found).alias("slugs"), healing.domain_line(lines, found).alias("line"), healing.brand_of_handle(F.array(mail), ("SPORTS", "MOTORS")).alias("brand"))
+    return corpora.suppliers(spark, d).select(key.alias("id"), _csv(found).alias("slugs"), healing.domain_line(lines, found).alias("line"), healing.brand_of_handle(F.array(mail), ("SPORTS", "MOTORS")).alias("brand"))
 
 
 FIRM_SLUGS = f"""WITH s AS (SELECT s_suppkey AS id, lower({_spelt("s_suppkey")}) AS w, {_spelt("s_suppkey")} AS t FROM supplier)
@@ -420,7 +420,7 @@ def healed_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("mail A"), key, F.lit("@gmai1.com")), F.concat(F.lit("WWW. Firm"), key, F.lit(".in")), F.concat(F.lit("+91 98220-"), F.lpad(key, 5, "0")))
     none = F.array().cast("array<string>")
     held = healing.without_contained(F.array(address, F.upper(address), F.concat(F.lit("Plot "), key)))
-    return table(spark, d, "supplier").select(
+    return corpora.suppliers(spark, d).select(
         F.col("s_suppkey").alias("id"), healing.healed_address(address).alias("address"), healing.healed_text(F.concat(F.lit("टेडर्स हायोक "), key)).alias("text"), _csv(healing.healed_emails(none, lines)).alias("emails"),
         _csv(healing.healed_sites(none, lines)).alias("sites"), _csv(healing.healed_phones(none, lines)).alias("phones"), F.size(held).alias("n_addresses"), healing.title_cased(F.lit("DOOR LOCKS")).alias("part"),
     )
@@ -453,7 +453,7 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("no answer")
         return ("```json\n" + whole + "}\n```", "So: " + whole + ' "websites": ["www.b.in', "sorry")[number % 4]
 
-    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), model.prompt("Read cards.", F.concat(F.lit("No. "), F.col("s_suppkey").cast("string"))).alias("prompt"))
+    asked = corpora.suppliers(spark, d).select(F.col("s_suppkey").alias("id"), model.prompt("Read cards.", F.concat(F.lit("No. "), F.col("s_suppkey").cast("string"))).alias("prompt"))
     card = model.with_answers(asked, infer).select("id", "card.*")
     return card.select("id", F.coalesce("companyName", F.lit("by rules")).alias("company"), _csv(F.col("emails")).alias("emails"), _csv(F.col("websites")).alias("websites"), F.get("contactPersons", F.lit(0))["name"].alias("person"))
 
@@ -486,7 +486,7 @@ def universal_cards(spark: SparkSession, d: str) -> DataFrame:
         .when(key % 4 == 2, F.array(F.concat(w, F.lit(" Traders")), F.upper(p), mobile, F.lit("Pipes, VALVES, Pumps"), place))
         .otherwise(F.array(F.concat(F.lit("Adv. "), p), F.concat(w, F.lit(" Associates")), F.lit("Trusted by many"), place))
     )
-    found = semantic.universal_cards(table(spark, d, "supplier").select(key.alias("id"), F.array_join(lines, "\n").alias("text")))
+    found = semantic.universal_cards(corpora.suppliers(spark, d).select(key.alias("id"), F.array_join(lines, "\n").alias("text")))
     people = F.array_join(F.transform("persons", lambda x: F.concat_ws(":", x["name"], x["role"], F.array_join(x["phones"], "/"))), ";")
     return found.select("id", "company", people.alias("persons"), "tagline", _csv(F.col("services")).alias("services"), _csv(F.col("phones")).alias("phones"), F.array_join(F.transform("addresses", lambda a: a["address"]), ";").alias("addresses"), F.col("confidence.needs_review").alias("needs_review"))
 
