@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from inkwell.llm import scratch
 
 MAX_ROUNDS = 60
-#: Nodes that may be sent to every task: those that have more than their share of the links.
+#: Links up to which the smallest neighbours of all nodes (two for each link at most) are sent to every task.
+BROADCAST_LINKS = 500_000
+#: Beyond: nodes that are, namely those that have more than their share of the links.
 HOT_NODES = 50_000
 #: Links of a node that a join may always meet in one task.
 LINKS = 64
@@ -18,19 +20,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
 
 
-def _with_least(edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) with m, the smallest neighbour of u; and the table behind it.
+def _with_least(edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (u, v) with m, the smallest neighbour of u; and the table behind it, if there is one.
 
-    Nodes with more than ``2 * links / HOT_NODES`` neighbours (HOT_NODES of them at most, as links
-    has at most two ends each) are sent to every task; the others meet their links by a shuffle, in
-    which no key has more rows than that.
+    Up to BROADCAST_LINKS links, m is sent to every task. Beyond, that is done for nodes with more than
+    ``4 * links / HOT_NODES`` neighbours (HOT_NODES of them at most, as a link has two ends); the others
+    meet their links by a shuffle, in which no key has more rows than that.
     """
-    least = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if links <= BROADCAST_LINKS:
+        return edges.join(F.broadcast(least.drop("n")), "u"), None
+    least = scratch.save(least, "least")
     most = max(LINKS, 4 * links // HOT_NODES)
-    hot, cold = least.where(F.col("n") > most).drop("n"), least.where(F.col("n") <= most).drop("n")
-    if hot.isEmpty():
-        return edges.join(cold, "u"), least
-    hot = F.broadcast(hot)
+    hot, cold = F.broadcast(least.where(F.col("n") > most).drop("n")), least.where(F.col("n") <= most).drop("n")
     rest = edges.join(hot.select("u"), "u", "left_anti")
     return edges.join(hot, "u").unionByName(rest.join(cold, "u")), least
 
@@ -50,14 +52,18 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        starred, least = _with_least(both, state[0])
-        large = scratch.save(starred.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct(), "large")
-        scratch.drop(least)
-        starred, least = _with_least(large, state[0])
+        starred, first = _with_least(both, state[0])
+        large = starred.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        if first is not None:
+            large = scratch.save(large, "large")
+        starred, second = _with_least(large, state[0])
         small = starred.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after = scratch.save(small, "edges")
         now = _state(after)
-        scratch.drop(edges, large, least)
+        scratch.drop(*(x for x in (edges, large, first, second) if x is not None))
+        del starred, small, large, first, second, both
+        # Broadcasts and shuffles of a round stay with the executors until the driver's garbage is collected.
+        scratch.free(edges.sparkSession)
         edges = after
         if now == state:
             break

@@ -19,7 +19,7 @@ connected with most of their group meet all its blocks, which leaves no pair out
 by signature, then by full set unless they are connected already; a task hands on at most one link
 for each node, and components come from those links. So neither a key, nor a group, nor its pairs
 end up in one task, and nothing is capped. A group of g nodes of which r aren't connected with most
-costs g + g * r / 64 rows.
+costs 2 * g + g * r / 16 rows.
 
 Edge cases: null or empty text has no shingles and is linked with nothing; with fewer words than a
 shingle the whole sequence is one. Very long texts are hashed whole, in parts. A pair at exactly the
@@ -49,8 +49,8 @@ INDEXED = 64
 PERCENT = 85
 #: Standard deviations of the number of differing positions that a linked pair may be off its mean.
 DEVIATIONS, WIDE = 4.2, 6.0
-BLOCK_NODES = 128
-BLOCK_BYTES = 2 << 20
+BLOCK_NODES = 32
+BLOCK_BYTES = 1 << 20
 #: Ids that may be sent to every task to pick out the texts of coarse groups; beyond, they are joined.
 BROADCAST_IDS = 2_000_000
 SEED = 77_003
@@ -186,7 +186,7 @@ def _each(n: str) -> Column:
 
 
 def group_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect what is linked within each group; members has nid, comp, block, blocks, n, sig and set."""
+    """(u, v): links, or labels in their place, that connect what is linked within each group; members has nid, comp, block, blocks, n, sig and set."""
     zero = F.lit(0)
     to = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block"))
     first = members.withColumn("j", F.explode(to)).select("*", zero.alias("i"), F.col("nid").alias("label"), (F.col("j") == F.col("block")).cast("int").alias("side"))
@@ -196,6 +196,7 @@ def group_links(members: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return links
     labels = components(links)
+    links = labels.select("u", F.col("label").alias("v"))
     told = scratch.save(large.join(labels.select(F.col("u").alias("nid"), "label"), "nid", "left").select("nid", "comp", "n", F.coalesce("label", "nid").alias("label")), "parts")
     most = told.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rest = told.join(most, "comp").where("label != main")

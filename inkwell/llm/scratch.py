@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     found = "file://" + os.path.join(tempfile.gettempdir(), "inkwell-scratch")
     return found
@@ -60,8 +61,8 @@ def drop(*frames: DataFrame) -> None:
             _LIVE.pop(path, None)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Delete the shuffle files of finished jobs: Spark does so when the driver's garbage is collected."""
+def free(spark: SparkSession) -> None:
+    """Delete the shuffle files and broadcasts of finished jobs: Spark does so when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-CACHE = 500_000
+CACHE = 200_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

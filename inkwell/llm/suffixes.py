@@ -433,7 +433,7 @@ def _passes(rows: DataFrame, take: Callable, samples: bool, passes: int, buckets
         dealt = rows.mapInArrow(take(number, buckets), DEALT_ROWS)
         out.append(scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(samples), FOUND), label))
         del dealt
-        scratch.free_shuffles(rows.sparkSession)
+        scratch.free(rows.sparkSession)
     return out
 
 
@@ -479,7 +479,7 @@ def removed(given: DataFrame) -> DataFrame:
     opened = scratch.save(found.where("before is not null or after is not null").select("key").distinct(), "open-keys")
     docs = scratch.save(_joined(_chosen(given, opened, "left_semi"), found, ("before", "after", "gone")), "open")
     scratch.drop(opened)
-    scratch.free_shuffles(given.sparkSession)
+    scratch.free(given.sparkSession)
     strings = _passes(docs, _strings, False, STRING_PASSES, _buckets(size / 10 / STRING_PASSES), "strings")
     scratch.drop(docs)
     return _together([*ranks, *strings]).where("gone is not null or strings is not null").select("key", "gone", "strings")

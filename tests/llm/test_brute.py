@@ -98,6 +98,7 @@ def test_groups_of_many_blocks(spark, monkeypatch, broadcast):
     monkeypatch.setattr(neardup, "BLOCK_NODES", 4)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
     monkeypatch.setattr(graph, "LINKS", 3)
+    monkeypatch.setattr(graph, "BROADCAST_LINKS", broadcast)
     texts = copies(1, 40) + copies(2, 25) + [" ".join([*copies(3, 1)[0].split()[:60], *copies(1, 1)[0].split()[60:]])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
