@@ -89,3 +89,15 @@ def test_made_cards(spark):
         assert all(e in r["noisy_ocr"] for e in r["json"]["emails"])
     kept = lambda s: sum(bool(r["json"]["phoneNumbers"]) for r in rows if r["severity"] == s) / sum(r["severity"] == s for r in rows)
     assert kept(0.0) == 1.0 > kept(0.55)
+
+
+def test_second_thoughts(spark):
+    from inkwell.operators import parse, refine
+
+    rows = [(1, "Surya\nMotors\nAsha Rao : 9822012345\nDhantoli, Nagpur | 98220 54321\nRetailer of spare parts"), (2, "Kiran Enterprises\nRamesh Patil\nProprietor\nwww.kiranent.in\nTilak Road, Pune - 411030"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("blocks", F.lit(None).cast(f"array<{parse.BLOCK}>"))
+    got = {r["id"]: r for r in refine.refined_cards(df).collect()}
+    assert got[1]["company"] == "Surya Motors" and got[1]["tagline"] == "Retailer of spare parts" and got[1]["addresses"] == ["Dhantoli, Nagpur"]
+    assert [tuple(p) for p in got[1]["persons"]] == [("Asha Rao", None)] and ("9822054321", "Nagpur") in [tuple(x) for x in got[1]["labelled_phones"]]
+    assert got[2]["company"] == "Kiran Enterprises" and [tuple(p) for p in got[2]["persons"]] == [("Ramesh Patil", "Proprietor")]
+    assert got[3]["company"] is None and got[3]["persons"] == [] and got[3]["addresses"] == []
