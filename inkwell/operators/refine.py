@@ -168,13 +168,17 @@ def worked_out(df: DataFrame) -> DataFrame:
 
 
 def refined_cards(cards: DataFrame, vetoes: tuple[str, ...] = ()) -> DataFrame:
-    """Business cards (text, blocks) with second thoughts (C9) where they are better: company, tagline, persons, addresses, phones and their labels."""
-    marker = F.lit(None).cast(f"array<{parse.BLOCK}>")
-    base = parse.business_cards(cards, vetoes=vetoes)
-    # The second reading has the text alone; where the first had no boxes either, it's the same card.
+    """Business cards (text, and blocks if there are any) with second thoughts (C9) where they are better: company, tagline, persons, addresses, phones and their labels."""
+    none = F.lit(None).cast(f"array<{parse.BLOCK}>")
     keep = ("company", "tagline", "slogan", "persons", "addresses")
-    first_read = base.withColumns({f"_{c}": F.col(c) for c in keep}).drop(*keep)
-    both = parse.business_cards(first_read.select("*", F.col("blocks").alias("_blocks_given")).withColumn("blocks", marker), vetoes=vetoes).drop("blocks").withColumnRenamed("_blocks_given", "blocks")
+    boxed = "blocks" in cards.columns
+    base = parse.business_cards(cards if boxed else cards.withColumn("blocks", none), vetoes=vetoes)
+    first_read = base.withColumns({f"_{c}": F.col(c) for c in keep})
+    both = first_read
+    if boxed:
+        # The second reading has the text alone; without boxes it's the first one again.
+        given = first_read.drop(*keep).withColumn("_given", F.col("blocks")).withColumn("blocks", none)
+        both = parse.business_cards(given, vetoes=vetoes).drop("blocks").withColumnRenamed("_given", "blocks")
     out = worked_out(both.withColumn("_lines", text_lines(F.coalesce("text", F.lit("")))))
     firm = company(F.col("_lines"), F.col("company"), F.col("tagline"), F.col("persons"), F.col("emails"), F.col("websites"))
     out = worked_out(out.withColumns({"_firm": firm, "_able": F.filter(candidates(F.col("_lines"), F.col("persons"), F.col("_persons")), lambda n: is_person_name(n, vetoes)), "_slugs": healing.slugs(F.col("emails"), F.col("websites"))}))

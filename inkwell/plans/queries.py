@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions import text as T
-from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, semantic, universal
+from inkwell.operators import bills, classify, contacts, evaluate, fuse, healing, layout, lines, lookup, model, names, offline, pages, parse, refine, semantic, universal
 from inkwell.plans import corpora
 from inkwell.session import table
 from inkwell.sources import records, synthesis
@@ -498,6 +498,28 @@ CASE kind WHEN 0 THEN p || ':Managing Director:' WHEN 1 THEN p || ':Owner:' || m
 CASE kind WHEN 1 THEN 'Our Services' WHEN 3 THEN 'Trusted by many' END AS tagline, CASE kind WHEN 1 THEN 'Oil change,Tyres' WHEN 2 THEN 'Pipes,Valves,Pumps' ELSE '' END AS services,
 CASE WHEN kind IN (1, 2) THEN mobile ELSE '' END AS phones, place AS addresses, kind IN (0, 3) AS needs_review FROM s"""
 
+def refined_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of lines: a brand above its kind with a number beside a name, a firm that its site names, and a name in capitals with a handle."""
+    key = F.col("s_suppkey")
+    w, p = corpora.word(key), F.concat(corpora.word(key * 7 + 11), F.lit(" "), corpora.word(key * 3 + 5))
+    mobile = F.concat(F.lit("98"), F.lpad((key * 7919 % 100_000_000).cast("string"), 8, "0"))
+    place = F.concat(F.lit("Tilak Rosd, Pune - 4110"), F.lpad((key % 100).cast("string"), 2, "0"))
+    lines = (
+        F.when(key % 3 == 0, F.array(w, F.lit("Motors"), F.concat(p, F.lit(" : "), mobile), F.lit("Retailer of spare parts"), place))
+        .when(key % 3 == 1, F.array(F.concat(w, F.lit(" Enterprises")), p, F.lit("Proprietor"), F.concat(F.lit("www."), F.lower(w), F.lit("ent.in")), place, F.concat(F.lit("Mob: "), mobile)))
+        .otherwise(F.array(F.upper(p), F.concat(F.lower(w), F.lit("sports@gmail.com")), mobile))
+    )
+    found = refine.refined_cards(corpora.suppliers(spark, d).select(key.alias("id"), F.array_join(lines, "\n").alias("text")))
+    people = F.array_join(F.transform("persons", lambda x: F.concat_ws(":", x["name"], x["role"])), ";")
+    return found.select("id", "company", "tagline", people.alias("persons"), F.array_join("addresses", ";").alias("addresses"), _csv(F.col("phones")).alias("phones"))
+
+
+REFINED_CARDS = f"""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 3 AS kind, {_spelt("s_suppkey")} AS w, {_spelt("(s_suppkey * 7 + 11)")} || ' ' || {_spelt("(s_suppkey * 3 + 5)")} AS p,
+'98' || lpad(CAST(s_suppkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS mobile, 'Tilak Rosd, Pune - 4110' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS place FROM supplier)
+SELECT id, CASE kind WHEN 0 THEN w || ' Motors' WHEN 1 THEN w || ' Enterprises' ELSE upper(p) END AS company, CASE WHEN kind = 0 THEN 'Retailer of spare parts' END AS tagline,
+CASE kind WHEN 0 THEN p WHEN 1 THEN p || ':Proprietor' ELSE '' END AS persons, CASE WHEN kind < 2 THEN place ELSE '' END AS addresses, mobile AS phones FROM s"""
+
+
 #: Made cards that the two reports below are over.
 MADE_CARDS = 400
 
@@ -555,6 +577,7 @@ QUERIES = {
     "model_answers": (model_answers, MODEL_ANSWERS),
     "fallback_bills": (fallback_bills, FALLBACK_BILLS),
     "universal_cards": (universal_cards, UNIVERSAL_CARDS),
+    "refined_cards": (refined_cards, REFINED_CARDS),
     "label_keep_rates": (label_keep_rates, None),
     "rules_only_quality": (rules_only_quality, None),
 }
