@@ -11,15 +11,17 @@ exactly 0.85 about 10 in 100,000 differ in more indexed positions than that; at
 fewer than 1. (A closer look at all positions is 6 deviations wide and loses fewer than 1 in ten
 million.)
 
-Copies (equal sets) are one node. Entries that several nodes share link each of them to the
-smallest, which gives coarse groups that hold every pair the index finds, without listing pairs. A
-group is dealt in blocks of bounded size. First each block meets the first one, and its own nodes
-meet each other: in a group of copies of one text that links nearly all. Then the nodes that aren't
-connected with most of their group meet all its blocks, which leaves no pair out. Pairs are compared
+Copies (equal sets) are one node. Of the nodes that share an entry, those whose signatures are near
+are linked, with one link at most for each node and entry; entries that more than BUCKET nodes share
+link each of them to the smallest without a look. That gives coarse groups which hold every pair
+that the index finds, without listing pairs. A group is dealt in blocks of bounded size, of which the first has the nodes that share most entries:
+its centres. First each block meets the centres, and its own nodes meet each other: in a group of
+copies of one text that links nearly all. Then the nodes that aren't connected with most of their
+group meet all of it, in wider blocks, which leaves no pair out. Pairs are compared
 by signature, then by full set unless they are connected already; a task hands on at most one link
 for each node, and components come from those links. So neither a key, nor a group, nor its pairs
 end up in one task, and nothing is capped. A group of g nodes of which r aren't connected with most
-costs 2 * g + g * r / 16 rows.
+costs 2 * g + g * r / 128 rows.
 
 Edge cases: null or empty text has no shingles and is linked with nothing; with fewer words than a
 shingle the whole sequence is one. Very long texts are hashed whole, in parts. A pair at exactly the
@@ -36,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import scratch
@@ -51,6 +53,12 @@ PERCENT = 85
 DEVIATIONS, WIDE = 4.2, 6.0
 BLOCK_NODES = 32
 BLOCK_BYTES = 1 << 20
+#: Nodes of an entry up to which their signatures are compared.
+BUCKET = 256
+#: Blocks of nodes that the centres don't connect.
+WIDE_NODES, WIDE_BYTES = 256, 8 << 20
+#: Parts of a group that are searched for its centres on their own.
+PARTS = 64
 #: Ids that may be sent to every task to pick out the texts of coarse groups; beyond, they are joined.
 BROADCAST_IDS = 2_000_000
 SEED = 77_003
@@ -111,6 +119,37 @@ def entries(percent: int = PERCENT) -> Column:
     return F.explode(F.array(*out))
 
 
+def _near(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of the nodes of each entry (rows sorted by key) whose signatures are near: one at most for each node."""
+    most = distance(percent, POSITIONS, WIDE)
+
+    def near(nids: list[int], sigs: list[bytes]) -> Iterator[tuple[int, int]]:
+        values = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), POSITIONS)
+        label = np.arange(len(nids))
+        for x in range(len(nids) - 1):
+            for y in np.flatnonzero((values[x + 1 :] != values[x]).sum(1) <= most) + x + 1:
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    yield nids[x], nids[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nids, sigs, found = None, [], [], set()
+        for b in batches:
+            for k, n, sig in zip(b["key"].to_pylist(), b["nid"].to_pylist(), b["sig"].to_pylist(), strict=True):
+                if k != key:
+                    found.update(near(nids, sigs) if len(nids) > 1 else ())
+                    key, nids, sigs = k, [], []
+                nids.append(n)
+                sigs.append(sig)
+            pairs = list(found)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+        found.update(near(nids, sigs) if nids else ())
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+    return run
+
+
 #: Rows of a task, sorted by (comp, i, j): a node, what it is connected with, and its side.
 SIDES = ("comp", "i", "j", "nid", "label", "side", "sig", "set")
 
@@ -177,6 +216,10 @@ def _blocks(n: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(8 * shingles / BLOCK_BYTES)).cast("int")
 
 
+def _wide(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / WIDE_NODES), F.ceil(8 * shingles / WIDE_BYTES)).cast("int")
+
+
 def _block_of(nid: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(nid), F.col(blocks)).cast("int")
 
@@ -185,8 +228,21 @@ def _each(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def _apart(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the nodes of large groups (nid, comp, n): their labels and their group's largest part (label, main), those outside it, and the labels as links."""
+    labels = components(links)
+    told = large.join(labels.select(F.col("u").alias("nid"), "label"), "nid", "left").select("nid", "comp", "n", F.coalesce("label", "nid").alias("label"))
+    told = scratch.save(told, "parts")
+    most = told.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    told = told.join(most.select("comp", "main"), "comp")
+    return told, told.where("label != main"), labels.select("u", F.col("label").alias("v"))
+
+
 def group_links(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links, or labels in their place, that connect what is linked within each group; members has nid, comp, block, blocks, n, sig and set."""
+    """(u, v): links, or labels in their place, that connect what is linked within each group.
+
+    members has nid, comp, block (0: the group's centres), blocks, n, sig and set.
+    """
     zero = F.lit(0)
     to = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block"))
     first = members.withColumn("j", F.explode(to)).select("*", zero.alias("i"), F.col("nid").alias("label"), (F.col("j") == F.col("block")).cast("int").alias("side"))
@@ -195,21 +251,26 @@ def group_links(members: DataFrame, percent: int) -> DataFrame:
     large = members.where("blocks > 1").select("nid", "comp", "n")
     if large.isEmpty():
         return links
-    labels = components(links)
-    links = labels.select("u", F.col("label").alias("v"))
-    told = scratch.save(large.join(labels.select(F.col("u").alias("nid"), "label"), "nid", "left").select("nid", "comp", "n", F.coalesce("label", "nid").alias("label")), "parts")
-    most = told.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = told.join(most, "comp").where("label != main")
-    rows = rest.groupBy("comp").agg(_blocks(F.count("*"), F.sum("n")).alias("rows"))
+    told, rest, links = _apart(large, links)
+    wide = told.groupBy("comp").agg(_wide(F.count("*"), F.sum("n")).alias("wide"))
+    rows = rest.groupBy("comp").agg(_wide(F.count("*"), F.sum("n")).alias("rows")).join(wide, "comp")
     if rows.isEmpty():
         return links
-    rest = rest.join(rows, "comp").select("nid", _block_of("nid", "rows").alias("i"))
-    all_of = members.join(told.select("nid", "label"), "nid")
-    right = all_of.join(rows, "comp").withColumn("i", _each("rows")).select("*", F.col("block").alias("j"), F.lit(1).alias("side"))
-    left = all_of.join(rest, "nid").withColumn("j", _each("blocks")).select("*", zero.alias("side"))
+    rest = rest.join(rows, "comp").select("nid", _block_of("nid", "rows").alias("i"), "wide")
+    all_of = members.select("nid", "comp", "sig", "set").join(told.select("nid", "label"), "nid")
+    right = all_of.join(rows, "comp").withColumn("i", _each("rows")).select("*", _block_of("nid", "wide").alias("j"), F.lit(1).alias("side"))
+    left = all_of.join(rest, "nid").withColumn("j", _each("wide")).select("*", zero.alias("side"))
     return links.unionByName(scratch.save(_met(left.select(*SIDES).unionByName(right.select(*SIDES)), percent, True), "links"))
 
 
+def centres(nodes: DataFrame) -> DataFrame:
+    """(nid): of each group (comp) the BLOCK_NODES nodes of the highest score, nid among equals; of parts of it first, so that no group meets in one task."""
+    best = F.row_number().over(Window.partitionBy("comp", F.pmod(F.xxhash64("nid"), F.lit(PARTS))).orderBy(F.desc("score"), "nid"))
+    some = nodes.select("comp", "nid", "score", best.alias("k")).where(F.col("k") <= BLOCK_NODES)
+    best = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("score"), "nid"))
+    return some.select("nid", best.alias("k")).where(F.col("k") <= BLOCK_NODES).select("nid")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (doc_id, nid, digest, ...) with the full set of the text it names."""
     if wanted.count() <= BROADCAST_IDS:
@@ -234,16 +295,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = scratch.save(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     index = nodes.select("nid", entries(percent).alias("key"))
-    shared = index.groupBy("key").agg(F.min("nid").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    stars = index.join(shared, "key").where("nid != first").select(F.col("nid").alias("u"), F.col("first").alias("v"))
+    shared = index.groupBy("key").agg(F.min("nid").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = scratch.save(index.join(shared, "key"), "met")
+    few = met.where(F.col("n") <= BUCKET).select("key", "nid").join(nodes.select("nid", "sig"), "nid")
+    near = few.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(_near(percent), "u bigint, v bigint")
+    stars = met.where((F.col("n") > BUCKET) & (F.col("nid") != F.col("first"))).select(F.col("nid").alias("u"), F.col("first").alias("v")).unionByName(near)
     # Rows that share a doc_id are one document.
     ids = held.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     coarse = scratch.save(components(stars), "coarse")
     size = coarse.join(nodes.select(F.col("nid").alias("u"), "n"), "u").groupBy("label").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     grouped = coarse.join(size, "label").select(F.col("u").alias("nid"), F.col("label").alias("comp"), "blocks")
-    grouped = scratch.save(grouped.join(nodes, "nid"), "grouped")
+    score = met.groupBy("nid").agg(F.sum("n").alias("score"))
+    large = scratch.save(centres(grouped.where("blocks > 1").join(score, "nid").select("nid", "comp", "score")), "centres")
+    grouped = scratch.save(grouped.join(nodes, "nid").join(large.withColumn("central", F.lit(True)), "nid", "left"), "grouped")
     sets = _full_sets(docs, grouped.select("doc_id", "nid", "digest"))
-    members = scratch.save(grouped.select("nid", "comp", "blocks", "n", "sig", _block_of("nid", "blocks").alias("block")).join(sets, "nid"), "members")
+    # Centres are block 0; the others are dealt to the rest.
+    block = F.when(F.col("central") | (F.col("blocks") == 1), 0).otherwise(1 + F.pmod(F.xxhash64("nid"), F.greatest(F.col("blocks") - 1, F.lit(1))).cast("int"))
+    members = scratch.save(grouped.select("nid", "comp", "blocks", "n", "sig", F.coalesce(block, F.lit(0)).alias("block")).join(sets, "nid"), "members")
+    scratch.drop(met, large)
     links = group_links(members, percent)
     same = held.join(ids, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(nodes.select("digest", "nid"), "digest")
     same = same.join(same.groupBy("doc_id").agg(F.min("nid").alias("v")), "doc_id").where("nid != v").select(F.col("nid").alias("u"), "v")
