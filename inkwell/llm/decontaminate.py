@@ -78,7 +78,9 @@ def pairs(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
     wanted = met.join(_small(held.select("item", "item_id", "n", F.explode("full").alias("h"))), "item")
     same = (F.col("o.h") == F.col("w.h")) & (F.col("o.text_key") == F.col("w.text_key")) & F.col("o.doc_id").eqNullSafe(F.col("w.doc_id"))
     shared = own.alias("o").join(wanted.alias("w"), same).select("w.*").groupBy("doc_id", "text_key", "item", "item_id", "n").agg(F.count("*").cast("int").alias("shared"))
-    return scratch.save(shared.where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id", "text_key", "item_id", "shared", "n"), "leaks")
+    out = scratch.save(shared.where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id", "text_key", "item_id", "shared", "n"), "leaks")
+    scratch.drop(held, met)
+    return out
 
 
 def contained(items: DataFrame, percent: int = PERCENT) -> Column:

@@ -218,7 +218,9 @@ def disclosing(docs: DataFrame, rows: DataFrame, min_texts: int, max_residual_bi
     pairs = per_text.groupBy("entity", "n_c", "term", "n_t").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts).drop("texts")
     prior = F.col("n_c") / F.lit(float(max(1, total)))
     pairs = pairs.withColumn("p", (F.col("n_ct") + prior) / (F.col("n_t") + 1))
-    return pairs.where((-F.log2("p") <= max_residual_bits) & (F.log2(F.col("p") / prior) >= min_pmi_bits))
+    out = scratch.save(pairs.where((-F.log2("p") <= max_residual_bits) & (F.log2(F.col("p") / prior) >= min_pmi_bits)), "pii-telling")
+    scratch.drop(known, candidates, counts)
+    return out
 
 
 def find(docs: DataFrame, min_texts: int = MIN_TEXTS, max_residual_bits: float = MAX_RESIDUAL_BITS, min_pmi_bits: float = MIN_PMI_BITS) -> DataFrame:
@@ -229,7 +231,7 @@ def find(docs: DataFrame, min_texts: int = MIN_TEXTS, max_residual_bits: float =
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, PASS)
     rows = scratch.save(rows.withColumn("rid", F.monotonically_increasing_id()), "pii")
-    telling = scratch.save(disclosing(docs, rows, min_texts, max_residual_bits, min_pmi_bits).select("entity", "term"), "pii-telling")
+    telling = disclosing(docs, rows, min_texts, max_residual_bits, min_pmi_bits).select("entity", "term")
     used = rows.where("entities is not null").select("rid", "entities", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t"))
     used = used.select("rid", "entities", F.col("t.terms").alias("term"), F.col("t.starts").alias("s"), F.col("t.ends").alias("e"))
     by_term = telling.groupBy("term").agg(F.collect_set("entity").alias("disclosed"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm import labelled
+from inkwell.llm import labelled, scratch
 from inkwell.llm.batches import held_out, slices, texts
 
 STATISTICS = ("lower", "upper", "digit", "space", "newline", "stop", "bracket", "symbol", "other", "log_words", "word_mean", "word_sd", "distinct", "top", "repeats", "marked", "shouted", "lines", "line_distinct", "line_end", "pairs")
@@ -161,6 +161,14 @@ def fit(sample: DataFrame) -> Model:
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from a bounded sample of the labelled documents that aren't held out."""
+    sample = labelled.sample(docs, labels, "quality")
+    model = fit(sample)
+    scratch.drop(sample)
+    return model
+
+
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """docs with a column ``name`` (in place of one that has this name), whatever other columns there are."""
 
@@ -174,7 +182,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns of docs."""
-    model = fit(labelled.sample(docs, labels, "quality"))
+    model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -186,7 +194,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    model = fit(labelled.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"))
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm import labelled
+from inkwell.llm import labelled, scratch
 from inkwell.llm.batches import held_out, slices, texts
 
 THRESHOLD = 0.5
@@ -287,7 +287,9 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scorer = fit(labelled.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"))
+    sample = labelled.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
+    scorer = fit(sample)
+    scratch.drop(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
