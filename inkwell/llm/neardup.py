@@ -228,13 +228,18 @@ def _each(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """A row for each group, for a join with the groups' nodes: sent to every task up to BROADCAST_IDS of them, as one group may have most nodes."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+
+
 def _apart(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the nodes of large groups (nid, comp, n): their labels and their group's largest part (label, main), those outside it, and the labels as links."""
     labels = components(links)
     told = large.join(labels.select(F.col("u").alias("nid"), "label"), "nid", "left").select("nid", "comp", "n", F.coalesce("label", "nid").alias("label"))
     told = scratch.save(told, "parts")
     most = told.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    told = told.join(most.select("comp", "main"), "comp")
+    told = told.join(_small(most.select("comp", "main")), "comp")
     return told, told.where("label != main"), labels.select("u", F.col("label").alias("v"))
 
 
@@ -256,6 +261,7 @@ def group_links(members: DataFrame, percent: int) -> DataFrame:
     rows = rest.groupBy("comp").agg(_wide(F.count("*"), F.sum("n")).alias("rows")).join(wide, "comp")
     if rows.isEmpty():
         return links
+    rows = _small(rows)
     rest = rest.join(rows, "comp").select("nid", _block_of("nid", "rows").alias("i"), "wide")
     all_of = members.select("nid", "comp", "sig", "set").join(told.select("nid", "label"), "nid")
     right = all_of.join(rows, "comp").withColumn("i", _each("rows")).select("*", _block_of("nid", "wide").alias("j"), F.lit(1).alias("side"))
