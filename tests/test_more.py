@@ -77,6 +77,12 @@ def test_null_cards(spark):
         assert r["company"] is None and r["persons"] == [] and r["services"] == [] and r["phones"] == []
 
 
+def test_short_trades_are_words(spark):
+    rows = [(1, "Minni Tools\nVinni Kaspate\nManaging Director"), (2, "Holiday Inn\nTilak Road, Pune"), (3, "Green\nGyms\nAsha Rao : 9822012345")]
+    got = {r["id"]: (r["company"], [p["name"] for p in r["persons"]]) for r in semantic.universal_cards(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert got == {1: (None, ["Vinni Kaspate"]), 2: ("Holiday Inn", []), 3: ("Green Gyms", ["Asha Rao"])}
+
+
 def test_made_cards(spark):
     from inkwell.sources import synthesis
 

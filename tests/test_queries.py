@@ -35,3 +35,16 @@ def test_throttle(spark, sf):
             if last is None or t - last > 3_600_000:
                 n, last = n + 1, t
         assert rows[user] == n
+
+
+def test_cards_same_as_sql_at_later_keys(spark, tmp_path):
+    """Keys that spell names and firms with a short trade inside a word ("Kinnu", "Ainna")."""
+    import duckdb
+
+    path = f"{tmp_path}/supplier.parquet"
+    duckdb.sql(f"copy (select unnest([187, 365, 807, 808, 11886, 15661, 15665, 15669]) :: bigint as s_suppkey, 'x' as s_name) to '{path}' (format parquet)")
+    query, sql = QUERIES["universal_cards"]
+    df = query(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view supplier as select * from '{path}'")
+    assert rounded(df.collect()) == rounded(c.execute(f"select {', '.join(df.columns)} from ({sql})").fetchall())
